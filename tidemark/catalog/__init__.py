@@ -1,4 +1,4 @@
 """Registry of queries and their SQL oracles."""
 
-from tidemark.catalog import indicators  # noqa: F401
+from tidemark.catalog import indicators, study  # noqa: F401
 from tidemark.catalog.registry import ORACLES, QUERIES  # noqa: F401

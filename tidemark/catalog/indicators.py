@@ -43,15 +43,15 @@ FRAME_COLUMNS = [
 FRAME_SELECT = "SELECT " + ", ".join(f'"{n}"' for n in FRAME_COLUMNS)
 
 
-@query(sql(FRAME_SELECT + " FROM unit_frame", "unit_frame"), dbl="close weekly_200ma weekly_macd weekly_macd_signal daily_rsi volume_30ma", digits=4)
+@query(sql(FRAME_SELECT.replace('"close", ', "") + " FROM unit_frame", "unit_frame"), dbl="weekly_200ma weekly_macd weekly_macd_signal daily_rsi volume_30ma", digits=4)
 def signal_frame(spark, sf):
-    return S.signal_frame(B.clean_ohlcv(B.unit_price_bars(spark, sf))).select(*FRAME_COLUMNS)
+    return S.signal_frame(B.clean_ohlcv(B.unit_price_bars(spark, sf))).select(*FRAME_COLUMNS).drop("close")
 
 
 @query(sql(FRAME_SELECT + ", median_va_60 FROM idx_frame", "idx_frame"), dbl="close weekly_200ma weekly_macd weekly_macd_signal daily_rsi volume_30ma median_va_60", digits=4)
 def signal_frame_with_liquidity(spark, sf):
     """Signal frame on index bars with traded value and its 60-session median."""
-    return S.with_liquidity(S.signal_frame(B.index_bars(spark, sf))).select(*FRAME_COLUMNS, "median_va_60")
+    return S.signal_frame(B.index_bars(spark, sf), liquidity=True).select(*FRAME_COLUMNS, "median_va_60")
 
 
 @query(
@@ -87,7 +87,7 @@ def rolling_median(spark, sf):
     ), dbl="ewm_20", digits=4)
 def exponential_mean(spark, sf):
     b = B.unit_price_bars(spark, sf)
-    return W.ewm(b, {"ewm_20": ("close", 0.05, 20)}, K, block=128 * 8).select("ticker", "date", "ewm_20")
+    return W.ewm(b, {"ewm_20": ("close", 0.05, 20, 0)}, K).select("ticker", "date", "ewm_20")
 
 
 @query(sql("SELECT ticker, date, daily_rsi FROM unit_rsi", "unit_rsi"), dbl="daily_rsi", digits=5)

@@ -32,3 +32,23 @@ def query(sql: str | None = None, dbl: str = "", digits: int = 6):
         return fn
 
     return add
+
+
+_RUNS: dict[tuple, object] = {}
+
+
+def shared(cls, spark: SparkSession, sf_dir: str):
+    """One run object per session, folder and kind.
+
+    A run stages its signal, trade and ledger tables once and all its reports
+    read them, as a scheduled job would. ``forget`` starts a new run; the
+    benchmark calls it before every timed query.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, cls)
+    if key not in _RUNS:
+        _RUNS[key] = cls(spark, sf_dir)
+    return _RUNS[key]
+
+
+def forget() -> None:
+    _RUNS.clear()

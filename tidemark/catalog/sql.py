@@ -25,9 +25,14 @@ def sql(final: str, *names: str) -> str:
 
     for n in names:
         visit(n)
+    if final.lstrip().startswith("WITH "):
+        # A query that brings its own CTEs joins this clause.
+        names, final = final.lstrip()[5:], ""
+    else:
+        names = ""
     parts = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" if not n.startswith("rec_") else f"{n[4:]} AS ({CTES[n][1]})" for n in order)
     word = "WITH RECURSIVE" if any(n.startswith("rec_") for n in order) else "WITH"
-    return f"{word} {parts}\n{final}"
+    return f"{word} {parts}, {names}" if names else f"{word} {parts}\n{final}"
 
 
 cte(
@@ -144,3 +149,178 @@ def frame_ctes(b: str) -> None:
 
 frame_ctes("unit")
 frame_ctes("idx")
+
+
+# --- fixed-universe study over index bars -------------------------------------------------
+cte(
+    "win",
+    """SELECT greatest((SELECT max(f) FROM (SELECT min(date) f FROM idx GROUP BY ticker)),
+      (SELECT max(r) FROM (SELECT min(date) r FROM idx_frame WHERE indicator_ready GROUP BY ticker))) AS s,
+      (SELECT min(l) FROM (SELECT max(date) l FROM idx GROUP BY ticker)) AS e""",
+    "idx_frame",
+)
+cte(
+    "wsess",
+    """SELECT date, lead(date) OVER (ORDER BY date) AS nxt, row_number() OVER (ORDER BY date) - 1 AS i
+    FROM (SELECT DISTINCT date FROM idx, win WHERE date BETWEEN s AND e)""",
+    "win",
+)
+cte(
+    "wbars",
+    """SELECT idx.*, row_number() OVER (PARTITION BY ticker ORDER BY date) AS seq FROM idx, win WHERE date BETWEEN s AND e""",
+    "win",
+)
+cte(
+    "wsignals",
+    """SELECT g.*, coalesce(m.name, '') AS name, coalesce(m.sector, '') AS sector FROM idx_signals g
+    JOIN win ON g.signal_date BETWEEN s AND e LEFT JOIN meta m USING (ticker)""",
+    "win",
+    "idx_signals",
+    "meta",
+)
+cte(
+    "scen",
+    """SELECT * FROM (VALUES ('zero:conservative', 0.0, 0.0, true), ('basic:conservative', 0.001, 0.001, true),
+    ('strict:conservative', 0.003, 0.002, true), ('basic:optimistic', 0.001, 0.001, false)) t(scenario, slip, comm, stop_first)""",
+)
+
+
+def fills_sql(signals: str, sess: str, bars: str, scen: str, ids: str = "ticker, signal_date", gap_on_entry: bool = True) -> str:
+    """One row per (signal, scenario) with entry, first exit and returns."""
+    gap = "true" if gap_on_entry else "off > 0"
+    return f"""
+    SELECT p.*, k.scenario, k.slip, k.comm, f.* EXCLUDE (ticker, signal_date, scenario),
+      CASE WHEN entry_status = 'filled' THEN hit IS NOT NULL END AS is_closed,
+      CASE WHEN hit IS NOT NULL THEN hit_date ELSE last_date END AS exit_date,
+      CASE WHEN hit IS NOT NULL THEN hit_raw ELSE last_close END AS exit_raw_price,
+      CAST(CASE WHEN hit IS NOT NULL THEN hit + 1 ELSE bars END AS BIGINT) AS holding_sessions,
+      CASE WHEN hit IS NOT NULL THEN hit_reason WHEN bars IS NOT NULL THEN 'open_at_data_end' END AS exit_reason,
+      (CASE WHEN hit IS NOT NULL THEN hit_raw ELSE last_close END) * (1 - slip) AS exit_fill_price,
+      (CASE WHEN hit IS NOT NULL THEN hit_raw ELSE last_close END) * (1 - slip) * (1 - comm) / (entry_fill_price * (1 + comm)) - 1 AS net_return_pct,
+      (CASE WHEN hit IS NOT NULL THEN hit_raw ELSE last_close END) / entry_raw_open - 1 AS gross_return_pct
+    FROM (SELECT g.*, s.nxt AS entry_date, b.seq AS entry_seq, b."open" AS entry_raw_open,
+            CASE WHEN s.nxt IS NULL THEN 'data_end' WHEN b.seq IS NULL THEN 'missing_next_session' ELSE 'filled' END AS entry_status
+          FROM {signals} g LEFT JOIN {sess} s ON g.signal_date = s.date LEFT JOIN {bars} b ON g.ticker = b.ticker AND b.date = s.nxt) p
+    CROSS JOIN {scen} k
+    LEFT JOIN (
+      SELECT {ids}, scenario, min(off) FILTER (reason IS NOT NULL) AS hit, arg_min(date, off) FILTER (reason IS NOT NULL) AS hit_date,
+        arg_min(reason, off) FILTER (reason IS NOT NULL) AS hit_reason, arg_min(raw, off) FILTER (reason IS NOT NULL) AS hit_raw,
+        max(date) AS last_date, arg_max(c, off) AS last_close, count(*) AS bars, max(fill) AS entry_fill_price
+      FROM (SELECT *, CASE reason WHEN 'stop_gap' THEN o WHEN 'take_profit_gap' THEN o WHEN 'stop_loss' THEN fill * 0.9
+              WHEN 'stop_and_take_same_day_stop_first' THEN fill * 0.9 WHEN 'max_holding' THEN c ELSE fill * 1.3 END AS raw
+        FROM (SELECT *, CASE WHEN {gap} AND o <= fill * 0.9 THEN 'stop_gap' WHEN {gap} AND o >= fill * 1.3 THEN 'take_profit_gap'
+            WHEN l <= fill * 0.9 AND h >= fill * 1.3 THEN CASE WHEN stop_first THEN 'stop_and_take_same_day_stop_first' ELSE 'stop_and_take_same_day_take_first' END
+            WHEN l <= fill * 0.9 THEN 'stop_loss' WHEN h >= fill * 1.3 THEN 'take_profit' WHEN off >= 59 THEN 'max_holding' END AS reason
+          FROM (SELECT g.*, q.scenario, q.slip, q.comm, q.stop_first, b.date, b."open" o, b.high h, b.low l, b."close" c, b.seq - e.seq AS off,
+                  e."open" * (1 + q.slip) AS fill
+                FROM {signals} g JOIN {sess} s ON g.signal_date = s.date JOIN {bars} e ON g.ticker = e.ticker AND e.date = s.nxt
+                JOIN {bars} b ON b.ticker = g.ticker AND b.seq BETWEEN e.seq AND e.seq + 59 CROSS JOIN {scen} q)))
+      GROUP BY ALL) f ON {' AND '.join(f'p.{i} = f.{i}' for i in ids.split(', '))} AND f.scenario = k.scenario"""
+
+
+cte("fills", fills_sql("wsignals", "wsess", "wbars", "scen"), "wsignals", "wsess", "wbars", "scen")
+
+
+def chain_ctes(name: str, fills: str, keys: str, order: str = "signal_date") -> None:
+    """Sequential choice per key: {name}_link gives each signal its successor, {name} walks it."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    ka = ", ".join(f"a.{k}" for k in keys.split(", "))
+    cte(
+        f"{name}_first",
+        f"""SELECT {keys}, signal_date, ticker AS who, CASE WHEN is_closed THEN exit_date ELSE DATE '9999-12-31' END AS resume
+        FROM {fills} WHERE entry_status = 'filled'
+        QUALIFY row_number() OVER (PARTITION BY {keys}, signal_date ORDER BY {order}) = 1""",
+        fills,
+    )
+    cte(
+        f"{name}_link",
+        f"""SELECT a.*, b.signal_date AS succ FROM {name}_first a ASOF LEFT JOIN {name}_first b ON {on} AND a.resume <= b.signal_date""",
+        f"{name}_first",
+    )
+    cte(
+        f"rec_{name}",
+        f"""SELECT {keys}, signal_date, who, resume, succ, 1 AS n FROM {name}_link
+        WHERE ({keys}, signal_date) IN (SELECT {keys}, min(signal_date) FROM {name}_link GROUP BY {keys})
+        UNION ALL
+        SELECT {ka}, a.signal_date, a.who, a.resume, a.succ, b.n + 1 FROM {name}_link a JOIN {name} b ON {on} AND a.signal_date = b.succ""",
+        f"{name}_link",
+    )
+
+
+chain_ctes("chain", "fills", "scenario, ticker")
+cte(
+    "statuses",
+    """SELECT f.*, CASE WHEN c.signal_date = f.signal_date THEN 'accepted' WHEN f.signal_date < c.resume THEN 'skipped_while_open'
+      ELSE f.entry_status END AS status, CASE WHEN c.signal_date = f.signal_date THEN c.n END AS trade_seq
+    FROM fills f ASOF LEFT JOIN chain c ON f.scenario = c.scenario AND f.ticker = c.ticker AND f.signal_date >= c.signal_date""",
+    "rec_chain",
+)
+cte("trades", "SELECT * FROM statuses WHERE status = 'accepted'", "statuses")
+cte("ptrades", "SELECT * FROM trades WHERE scenario = 'basic:conservative'", "trades")
+
+
+# Marks by day through an as-of join; sums per day give the curve.
+cte(
+    "marks",
+    """SELECT t.scenario, s.date, t.ticker, t.signal_date,
+      CASE WHEN s.date >= t.exit_date THEN t.exit_fill_price * (1 - t.comm) ELSE b."close" END / (t.entry_fill_price * (1 + t.comm)) - 1 AS mark,
+      s.date <= t.exit_date AS active
+    FROM (SELECT t.*, s.date AS day FROM trades t JOIN wsess s ON s.date >= t.entry_date) t
+    JOIN wsess s ON s.date = t.day ASOF JOIN wbars b ON t.ticker = b.ticker AND t.day >= b.date""",
+    "trades",
+)
+cte(
+    "curve",
+    """SELECT scenario, date, 1 + total / capacity AS equity, active_positions, CAST(capacity AS BIGINT) AS capacity,
+      active_positions / capacity AS exposure
+    FROM (SELECT *, greatest(1, max(active_positions) OVER (PARTITION BY scenario)) AS capacity FROM (
+      SELECT a.scenario, a.date, coalesce(total, 0) AS total, coalesce(n, 0) AS active_positions
+      FROM (SELECT * FROM (SELECT DISTINCT scenario FROM trades), (SELECT date FROM wsess)) a
+      LEFT JOIN (SELECT scenario, date, sum(mark) AS total, count(*) FILTER (active) AS n FROM marks GROUP BY ALL) m USING (scenario, date)))""",
+    "marks",
+)
+
+
+def tstats(src: str, dims: str, key: str = "ticker") -> str:
+    """Trade statistics per group of ``src``."""
+    g = f"{dims}, " if dims else ""
+    p = f"PARTITION BY {g}is_closed"
+    order = f"ORDER BY exit_date, {key}, signal_date"
+    by = f"GROUP BY {dims}" if dims else ""
+    return f"""SELECT {g}count(*) AS trade_count, count(*) FILTER (is_closed) AS closed_trade_count,
+      count(*) FILTER (NOT is_closed) AS open_trade_count, avg(CAST(r > 0 AS INT)) AS win_rate, avg(r) FILTER (r > 0) AS average_win,
+      avg(r) FILTER (r < 0) AS average_loss, avg(r) FILTER (r > 0) / nullif(abs(avg(r) FILTER (r < 0)), 0) AS payoff_ratio,
+      avg(r) AS expectancy_per_trade, coalesce(sum(r) FILTER (r > 0), 0) / nullif(coalesce(-sum(r) FILTER (r < 0), 0), 0) AS profit_factor,
+      coalesce(max(run), 0) AS max_consecutive_losses, avg(holding_sessions) FILTER (is_closed) AS average_holding_sessions,
+      quantile_cont(holding_sessions, 0.5) FILTER (is_closed) AS median_holding_sessions, coalesce(sum(r), 0) AS sum_net_returns
+    FROM (SELECT *, CASE WHEN is_closed THEN net_return_pct END AS r,
+        CASE WHEN is_closed AND net_return_pct < 0 THEN row_number() OVER ({p}, isl, net_return_pct < 0 {order}) END AS run
+      FROM (SELECT *, sum(CASE WHEN net_return_pct < 0 THEN 0 ELSE 1 END) OVER ({p} {order}) AS isl FROM {src})) {by}"""
+
+
+TSTATS_DBL = (
+    "win_rate average_win average_loss payoff_ratio expectancy_per_trade profit_factor average_holding_sessions "
+    "median_holding_sessions sum_net_returns"
+)
+
+
+def cstats(src: str, dims: str) -> str:
+    """Curve statistics per group of ``src``."""
+    return f"""SELECT {dims}, l / f - 1 AS total_return, cagr, maximum_drawdown, cagr / nullif(abs(maximum_drawdown), 0) AS calmar_ratio,
+      market_exposure, maximum_concurrent_positions
+    FROM (SELECT *, CASE WHEN n >= 2 AND f > 0 AND l >= 0 AND days > 0 THEN pow(l / f, 365.2425 / days) - 1 END AS cagr
+      FROM (SELECT {dims}, count(*) n, arg_min(equity, date) f, arg_max(equity, date) l, date_diff('day', min(date), max(date)) AS days,
+          min(equity / peak - 1) AS maximum_drawdown, avg(exposure) AS market_exposure,
+          CAST(max(active_positions) AS BIGINT) AS maximum_concurrent_positions
+        FROM (SELECT *, max(equity) OVER (PARTITION BY {dims} ORDER BY date) AS peak FROM {src}) GROUP BY {dims}))"""
+
+
+CSTATS_DBL = "total_return cagr maximum_drawdown calmar_ratio market_exposure"
+
+cte(
+    "splits",
+    """SELECT split, min(date) AS "start", max(date) AS "end", count(*) AS sessions FROM (
+      SELECT date, CASE WHEN i <= floor(n * 0.6) - 1 THEN 'development' WHEN i <= floor(n * 0.8) - 1 THEN 'validation'
+        ELSE 'final_holdout' END AS split FROM (SELECT date, i, count(*) OVER () AS n FROM wsess)) GROUP BY split""",
+    "wsess",
+)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import (
@@ -16,7 +17,7 @@ from tidemark.config import (
     WEEKLY_MA_WINDOW,
 )
 from tidemark.functions.values import flag_mask, flag_score, truth
-from tidemark.operators.windows import rolling_median, running, series, sma, with_macd, with_rsi
+from tidemark.operators.windows import macd_columns, numbered, rolling_median, rsi_columns, running, series, sma, step
 
 WEEKLY_PAYLOAD = (
     "weekly_200ma",
@@ -45,15 +46,20 @@ def weekly_bars(bars: DataFrame, key: str = "ticker") -> DataFrame:
 
 
 def weekly_signals(weekly: DataFrame, key: str = "ticker", ma_window: int = WEEKLY_MA_WINDOW) -> DataFrame:
+    """Weekly indicators and flags; ``next_week`` is the ticker's next existing week."""
     w = series([key], "week")
-    framed = with_macd(weekly, "close", [key], "week", "weekly_macd").withColumn(
-        "weekly_200ma", sma("close", ma_window, [key], "week")
+    base = numbered(
+        weekly, [key], "week",
+        [sma("close", ma_window, [key], "week").alias("weekly_200ma"), F.lead("week").over(w).alias("next_week")],
     )
+    framed = macd_columns(base, "close", [key], "week", "weekly_macd")
+    blocked = Window.partitionBy(key).orderBy("__blk", "week")
     up = F.col("weekly_macd") > F.col("weekly_macd_signal")
-    was_down = F.lag("weekly_macd").over(w) <= F.lag("weekly_macd_signal").over(w)
+    was_down = F.lag("weekly_macd").over(blocked) <= F.lag("weekly_macd_signal").over(blocked)
     return framed.select(
         key,
         "week",
+        "next_week",
         "close",
         "weekly_200ma",
         "weekly_macd",
@@ -94,42 +100,42 @@ def weekly_to_daily(bars: DataFrame, weekly: DataFrame, key: str = "ticker") ->
 
     A day always belongs to an existing week of its own ticker, so the row it may
     see is its own week's on a Friday and the previous existing week's
-    otherwise: an equi join on (ticker, week) instead of an as-of search.
+    otherwise. Each weekly row is offered under both addresses, which makes the
+    as-of lookup an equi join.
     """
-    w = series([key], "week")
-    view = weekly.select(
-        key,
-        "week",
-        F.struct(*WEEKLY_PAYLOAD).alias("__own"),
-        F.lag(F.struct(*WEEKLY_PAYLOAD)).over(w).alias("__prev"),
-    )
-    seen = F.when(F.col("date") == F.col("week"), F.col("__own")).otherwise(F.col("__prev"))
-    return (
-        bars.withColumn("week", week_label())
-        .join(view, [key, "week"], "left")
-        .withColumn("__seen", seen)
-        .select(*bars.columns, *[F.col(f"__seen.{p}").alias(p) for p in WEEKLY_PAYLOAD])
+    friday = F.struct(F.col("week").alias("week"), F.lit(True).alias("friday"))
+    later = F.struct(F.col("next_week").alias("week"), F.lit(False).alias("friday"))
+    view = weekly.select(key, F.explode(F.array(friday, later)).alias("__at"), *WEEKLY_PAYLOAD).select(
+        key, F.col("__at.week").alias("__week"), F.col("__at.friday").alias("__friday"), *WEEKLY_PAYLOAD
     )
+    days = bars.withColumn("__week", week_label()).withColumn("__friday", F.col("date") == F.col("__week"))
+    return days.join(view, [key, "__week", "__friday"], "left").select(*bars.columns, *WEEKLY_PAYLOAD)
 
 
-def signal_frame(bars: DataFrame, key: str = "ticker", ma_window: int = WEEKLY_MA_WINDOW, readiness: bool = True) -> DataFrame:
+def signal_frame(
+    bars: DataFrame, key: str = "ticker", ma_window: int = WEEKLY_MA_WINDOW, readiness: bool = True, liquidity: bool = False
+) -> DataFrame:
     """Bars with weekly and daily indicators, flags, score and entry signal.
 
     ``readiness`` adds the warm-up gate of the study; the daily job scores
-    without it.
+    without it. ``liquidity`` adds the 60-session median of traded value.
     """
-    weekly = weekly_signals(weekly_bars(bars, key), key, ma_window)
-    daily = with_rsi(weekly_to_daily(bars, weekly, key), "close", [key])
-    daily = daily.withColumn("volume_30ma", sma("volume", VOLUME_MA_WINDOW, [key]))
-    rsi_ok = truth(F.col("daily_rsi").between(RSI_LOW, RSI_HIGH))
-    volume_ok = truth(F.col("volume") >= F.col("volume_30ma") * VOLUME_MULTIPLE)
-    flagged = daily.withColumns({"daily_rsi_40_65": rsi_ok, "daily_volume_1_5x": volume_ok})
-    for name in ("weekly_above_200ma", "weekly_macd_gc", "weekly_macd_uptrend"):
-        flagged = flagged.withColumn(name, truth(name))
-    ready = F.lit(True)
-    for name in READY_INPUTS:
-        ready = ready & F.col(name).isNotNull()
-    scored = flagged.withColumn("score", flag_score().cast("long")).withColumn("indicator_ready", ready)
+    extra = [step("close", [key]), sma("volume", VOLUME_MA_WINDOW, [key]).alias("volume_30ma")]
+    added = ["volume_30ma"]
+    if liquidity:
+        extra.append(rolling_median("va", 60, [key]).alias("median_va_60"))
+        added.append("median_va_60")
+    daily = rsi_columns(numbered(bars, [key], "date", extra), [key]).select(*bars.columns, *added, "daily_rsi")
+    joined = weekly_to_daily(daily, weekly_signals(weekly_bars(bars, key), key, ma_window), key)
+    flags = {
+        "weekly_above_200ma": truth("weekly_above_200ma"),
+        "weekly_macd_gc": truth("weekly_macd_gc"),
+        "weekly_macd_uptrend": truth("weekly_macd_uptrend"),
+        "daily_rsi_40_65": truth(F.col("daily_rsi").between(RSI_LOW, RSI_HIGH)),
+        "daily_volume_1_5x": truth(F.col("volume") >= F.col("volume_30ma") * VOLUME_MULTIPLE),
+    }
+    ready = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in READY_INPUTS])
+    scored = joined.withColumns({**flags, "indicator_ready": ready}).withColumn("score", flag_score().cast("long"))
     hot = F.col("score") >= SCORE_THRESHOLD
     return scored.withColumn("entry_signal", F.col("indicator_ready") & hot if readiness else hot)
 

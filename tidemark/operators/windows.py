@@ -44,86 +44,94 @@ def change(x: str, keys: Sequence[str], order: str = "date") -> Column:
     return F.try_divide(F.col(x), F.lag(x).over(series(keys, order))) - 1
 
 
-def ewm(
+def numbered(df: DataFrame, keys: Sequence[str], order: str = "date", extra: Sequence[Column] = (), block: int = EWM_BLOCK) -> DataFrame:
+    """Row number, block and offset per key, with other columns of the same window.
+
+    Everything over (keys, order) goes into one select and so into one Window
+    operator.
+    """
+    rn = F.row_number().over(series(keys, order))
+    return df.select("*", rn.alias("__rn"), *extra).select(
+        "*", F.floor((F.col("__rn") - 1) / block).alias("__blk"), ((F.col("__rn") - 1) % block).alias("__off")
+    )
+
+
+def ewm_columns(
     df: DataFrame,
-    specs: dict[str, tuple[str, float, int]],
+    specs: dict[str, tuple[str, float, int, int]],
     keys: Sequence[str],
     order: str = "date",
     block: int = EWM_BLOCK,
 ) -> DataFrame:
-    """Recursive exponential means y = (1-a)y + a x as window sums.
-
-    ``specs`` maps output -> (input, alpha, min_periods). The recursion is
-    unrolled to a weighted prefix sum. Rows are cut into blocks of ``block``
-    observations so that the weights stay in double range however long the
-    series is; the block before the previous one weighs (1-a)^block, which is
-    below double precision for the spans used here. Inputs may start with
-    nulls; later nulls are not expected after bar cleaning.
+    """Recursive exponential means y = (1-a)y + a x as window sums, on a numbered frame.
+
+    ``specs`` maps output -> (input, alpha, min_periods, leading nulls). The
+    recursion is unrolled to a weighted prefix sum. Rows are cut into blocks of
+    ``block`` observations so that the weights stay in double range however long
+    a series is: a value is the prefix sum of its own block plus the total of
+    the block before; older blocks weigh less than (1-a)^block, which is below
+    double precision for the spans used here. Both windows are ordered
+    (keys, block, order), so one sort serves them.
     """
-    w, run = series(keys, order), running(keys, order)
-    inputs = {x for x, _, _ in specs.values()}
-    out = df
-    for x in inputs:
-        seen = F.count(x).over(run)
-        out = out.withColumn(f"__n_{x}", F.when(F.col(x).isNotNull(), seen))
-    for x in inputs:
-        out = out.withColumn(f"__b_{x}", F.floor((F.col(f"__n_{x}") - 1) / block)).withColumn(
-            f"__o_{x}", (F.col(f"__n_{x}") - 1) % block
-        )
-    for x in inputs:
-        in_block = Window.partitionBy(*keys, f"__b_{x}").orderBy(order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        names = [(name, a) for name, (src, a, _) in specs.items() if src == x]
-        for name, a in names:
-            weight = F.when(F.col(f"__n_{x}") == 1, 1.0).otherwise(a)
-            term = F.col(x) * weight * F.pow(F.lit(1 - a), -F.col(f"__o_{x}"))
-            out = out.withColumn(f"__t_{name}", term)
-        out = out.select("*", *[F.sum(f"__t_{n}").over(in_block).alias(f"__s_{n}") for n, _ in names])
-        out = out.select(
-            "*",
-            *[F.when(F.col(f"__o_{x}") == 0, F.lag(f"__s_{n}").over(w)).alias(f"__p_{n}") for n, _ in names],
-        )
-        out = out.select("*", *[F.max(f"__p_{n}").over(in_block).alias(f"__q_{n}") for n, _ in names])
-    for name, (x, a, min_periods) in specs.items():
-        carried = F.when(F.col(f"__b_{x}") > 0, F.col(f"__q_{name}") * ((1 - a) ** block)).otherwise(0.0)
-        value = F.pow(F.lit(1 - a), F.col(f"__o_{x}")) * (F.col(f"__s_{name}") + carried)
-        out = out.withColumn(name, F.when(F.col(f"__n_{x}") >= min_periods, value))
-    return out.select(*df.columns, *specs)
-
-
-def with_rsi(df: DataFrame, x: str, keys: Sequence[str], n: int = RSI_WINDOW, order: str = "date", out: str = "daily_rsi") -> DataFrame:
-    step = F.col(x) - F.lag(x).over(series(keys, order))
-    base = df.withColumn("__step", step).select(
+    inside = Window.partitionBy(*keys, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__blk").rangeBetween(-1, -1)
+    terms = [
+        (F.col(x) * F.when(F.col("__rn") == lead + 1, 1.0).otherwise(a) * F.pow(F.lit(1 - a), -F.col("__off"))).alias(f"__t_{n}")
+        for n, (x, a, _, lead) in specs.items()
+    ]
+    sums = [F.sum(f"__t_{n}").over(inside).alias(f"__s_{n}") for n in specs]
+    carry = [F.sum(f"__t_{n}").over(before).alias(f"__c_{n}") for n in specs]
+    values = [
+        F.when(
+            F.col("__rn") - lead >= m,
+            F.pow(F.lit(1 - a), F.col("__off")) * (F.coalesce(f"__s_{n}", F.lit(0.0)) + F.coalesce(f"__c_{n}", F.lit(0.0)) * (1 - a) ** block),
+        ).alias(n)
+        for n, (_, a, m, lead) in specs.items()
+    ]
+    return df.select("*", *terms).select("*", *sums, *carry).select(*df.columns, *values)
+
+
+def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int, int]], keys: Sequence[str], order: str = "date", block: int = EWM_BLOCK) -> DataFrame:
+    return ewm_columns(numbered(df, keys, order, block=block), specs, keys, order, block).select(*df.columns, *specs)
+
+
+def rsi_columns(df: DataFrame, keys: Sequence[str], n: int = RSI_WINDOW, order: str = "date", out: str = "daily_rsi") -> DataFrame:
+    """RSI on a numbered frame that carries the one-step change in ``__step``."""
+    known = F.col("__step").isNotNull()
+    base = df.select(
         "*",
-        F.when(F.col("__step").isNotNull(), F.greatest(F.col("__step"), F.lit(0.0))).alias("__gain"),
-        F.when(F.col("__step").isNotNull(), F.greatest(-F.col("__step"), F.lit(0.0))).alias("__loss"),
+        F.when(known, F.greatest("__step", F.lit(0.0))).alias("__gain"),
+        F.when(known, F.greatest(-F.col("__step"), F.lit(0.0))).alias("__loss"),
     )
-    means = ewm(base, {"__ag": ("__gain", 1 / n, n), "__al": ("__loss", 1 / n, n)}, keys, order)
+    # The first change is null, hence one leading null.
+    means = ewm_columns(base, {"__ag": ("__gain", 1 / n, n, 1), "__al": ("__loss", 1 / n, n, 1)}, keys, order)
     g, l = F.col("__ag"), F.col("__al")
     # A zero loss mean gives 100 when there were gains and nothing when there were none.
     value = F.when(l > 0, 100 - 100 / (1 + g / l)).when((l == 0) & (g > 0), 100.0)
-    return means.withColumn(out, value).select(*df.columns, out)
+    return means.select(*df.columns, value.alias(out))
 
 
-def with_macd(
-    df: DataFrame,
-    x: str,
-    keys: Sequence[str],
-    order: str = "date",
-    prefix: str = "macd",
-    spans: tuple[int, int, int] = (MACD_FAST, MACD_SLOW, MACD_SIGNAL),
-) -> DataFrame:
+def step(x: str, keys: Sequence[str], order: str = "date") -> Column:
+    return (F.col(x) - F.lag(x).over(series(keys, order))).alias("__step")
+
+
+def with_rsi(df: DataFrame, x: str, keys: Sequence[str], n: int = RSI_WINDOW, order: str = "date", out: str = "daily_rsi") -> DataFrame:
+    framed = numbered(df, keys, order, [step(x, keys, order)])
+    return rsi_columns(framed, keys, n, order, out).select(*df.columns, out)
+
+
+def macd_columns(df: DataFrame, x: str, keys: Sequence[str], order: str, prefix: str, spans: tuple[int, int, int] = (MACD_FAST, MACD_SLOW, MACD_SIGNAL)) -> DataFrame:
+    """MACD line and signal on a numbered frame; the line starts at row ``slow``."""
     fast, slow, signal = spans
-    two = ewm(
-        df,
-        {"__f": (x, 2 / (fast + 1), fast), "__s": (x, 2 / (slow + 1), slow)},
-        keys,
-        order,
-    ).withColumn(prefix, F.col("__f") - F.col("__s"))
-    three = ewm(two, {f"{prefix}_signal": (prefix, 2 / (signal + 1), signal)}, keys, order)
-    return three.withColumn(f"{prefix}_histogram", F.col(prefix) - F.col(f"{prefix}_signal")).select(
-        *df.columns, prefix, f"{prefix}_signal", f"{prefix}_histogram"
+    two = ewm_columns(df, {"__f": (x, 2 / (fast + 1), fast, 0), "__s": (x, 2 / (slow + 1), slow, 0)}, keys, order)
+    line = two.select(*df.columns, (F.col("__f") - F.col("__s")).alias(prefix))
+    return ewm_columns(line, {f"{prefix}_signal": (prefix, 2 / (signal + 1), signal, slow - 1)}, keys, order)
+
+
+def with_macd(df: DataFrame, x: str, keys: Sequence[str], order: str = "date", prefix: str = "macd") -> DataFrame:
+    framed = macd_columns(numbered(df, keys, order), x, keys, order, prefix)
+    return framed.select(
+        *df.columns, prefix, f"{prefix}_signal", (F.col(prefix) - F.col(f"{prefix}_signal")).alias(f"{prefix}_histogram")
     )
 
 

@@ -31,8 +31,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def by_ticker(df: DataFrame, key: str = "ticker") -> DataFrame:
-    """One shuffle by ticker that every later window, join and group-by reuses."""
-    return df.repartition(key)
+    """One shuffle by ticker that every later window, join and group-by reuses.
+
+    The count is given explicitly so that adaptive coalescing, which looks at
+    bytes only, does not put CPU-heavy windows on a few tasks.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.master", "").startswith("local"):
+        n = spark.sparkContext.defaultParallelism
+    else:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key)
 
 
 def unit_price_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
