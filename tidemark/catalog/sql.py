@@ -52,8 +52,8 @@ cte(
     "idx",
     """SELECT ticker, date, "open", greatest("open", "close") * (1 + 0.1 * up) AS high,
     least("open", "close") * (1 - 0.1 * down) AS low, "close", volume, va
-    FROM (SELECT *, 1000 * exp(lc) AS "close", 1000 * exp(lc + 0.4 * x) AS "open"
-      FROM (SELECT *, sum(0.4 * g - 0.4 * x) OVER (PARTITION BY ticker ORDER BY date) AS lc FROM idxday))""",
+    FROM (SELECT *, 1000 * exp(lc) AS "close", 1000 * exp(lc + 0.3713 * x) AS "open"
+      FROM (SELECT *, sum(0.3937 * g - 0.3713 * x) OVER (PARTITION BY ticker ORDER BY date) AS lc FROM idxday))""",
     "idxday",
 )
 cte(
@@ -189,7 +189,7 @@ def fills_sql(signals: str, sess: str, bars: str, scen: str, ids: str = "ticker,
     """One row per (signal, scenario) with entry, first exit and returns."""
     gap = "true" if gap_on_entry else "off > 0"
     return f"""
-    SELECT p.*, k.scenario, k.slip, k.comm, f.* EXCLUDE (ticker, signal_date, scenario),
+    SELECT p.*, k.scenario, k.slip, k.comm, f.* EXCLUDE ({ids}, scenario),
       CASE WHEN entry_status = 'filled' THEN hit IS NOT NULL END AS is_closed,
       CASE WHEN hit IS NOT NULL THEN hit_date ELSE last_date END AS exit_date,
       CASE WHEN hit IS NOT NULL THEN hit_raw ELSE last_close END AS exit_raw_price,
@@ -324,3 +324,224 @@ cte(
         ELSE 'final_holdout' END AS split FROM (SELECT date, i, count(*) OVER () AS n FROM wsess)) GROUP BY split""",
     "wsess",
 )
+
+
+# --- point-in-time universes, slot ledger and diagnostics ---------------------------------
+cte(
+    "sched",
+    """SELECT y.year, s.i AS sel, s.date AS selection_date, c.date AS cutoff_date, a.date AS short_start, b.date AS long_start
+    FROM (SELECT CAST(year(date) AS INT) AS year, min(i) AS i FROM idx_sess WHERE month(date) = 4 AND year(date) BETWEEN 1996 AND 2001 GROUP BY 1) y
+    JOIN idx_sess s USING (i) JOIN idx_sess c ON c.i = y.i - 1 JOIN idx_sess a ON a.i = y.i - 60 JOIN idx_sess b ON b.i = y.i - 252""",
+    "idx_sess",
+)
+cte(
+    "facts",
+    """SELECT s.year, b.ticker, s.cutoff_date, s.selection_date, count(*) / 252.0 AS completeness,
+      max(b."close") FILTER (b.date = s.cutoff_date) AS raw_close, quantile_cont(va, 0.5) FILTER (d.i >= s.sel - 60) AS liquidity,
+      any_value(f.first_date) AS first_date
+    FROM sched s JOIN idx_sess d ON d.i BETWEEN s.sel - 252 AND s.sel - 1 JOIN idx b ON b.date = d.date
+    JOIN (SELECT ticker, min(date) AS first_date FROM idx GROUP BY 1) f ON f.ticker = b.ticker GROUP BY ALL""",
+    "sched",
+)
+cte(
+    "rules",
+    """SELECT * FROM (VALUES ('liquid50', 50, 3, 45000.0, 300.0, 0.15, 12), ('liquid100', 100, 6, 30000.0, 300.0, 0.10, 12))
+    t(universe, target, cap, min_liquidity, min_close, min_completeness, months)""",
+)
+cte(
+    "cands",
+    """SELECT r.universe, r.target, r.cap, f.*, m.sector FROM facts f CROSS JOIN rules r JOIN meta m USING (ticker)
+    WHERE first_date + to_months(r.months) <= cutoff_date AND completeness >= min_completeness AND raw_close >= min_close
+      AND liquidity >= min_liquidity""",
+    "facts",
+    "rules",
+    "meta",
+)
+cte(
+    "members",
+    """SELECT universe, year, ticker, sector, liquidity, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY universe, year ORDER BY liquidity DESC, ticker) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY universe, year, sector ORDER BY liquidity DESC, ticker) AS sr FROM cands) WHERE sr <= cap)
+    WHERE rank <= target""",
+    "cands",
+)
+cte(
+    "yos",
+    """SELECT d.date, (SELECT max(year) FROM sched s WHERE s.selection_date <= d.date) AS year FROM idx_sess d""",
+    "sched",
+)
+cte("static", "SELECT 'static' AS universe, ticker FROM meta WHERE region = 'ASIA'", "meta")
+
+
+def member_sql(rows: str, day: str) -> str:
+    return f"""SELECT m.universe, r.* FROM {rows} r JOIN yos y ON y.date = r.{day} JOIN members m ON m.year = y.year AND m.ticker = r.ticker
+    UNION ALL SELECT s.universe, r.* FROM {rows} r JOIN static s USING (ticker)"""
+
+
+cte(
+    "usignals",
+    f"""SELECT u.*, CASE WHEN m.region = 'ASIA' THEN 'STATIC_CODE' ELSE 'ADDED_CODE' END AS origin_group
+    FROM ({member_sql("wsignals", "signal_date")}) u JOIN meta m USING (ticker)""",
+    "wsignals", "yos", "members", "static", "meta",
+)
+cte("pscen", "SELECT 'basic:conservative' AS scenario, 0.001 AS slip, 0.001 AS comm, true AS stop_first")
+cte(
+    "ufills",
+    fills_sql("usignals", "wsess", "wbars", "pscen", "universe, ticker, signal_date", gap_on_entry=False),
+    "usignals", "wsess", "wbars", "pscen",
+)
+EXIT_GROUP = """CASE WHEN exit_reason IN ('stop_loss', 'stop_and_take_same_day_stop_first') THEN 'stop_loss'
+      WHEN exit_reason IN ('take_profit', 'stop_and_take_same_day_take_first') THEN 'take_profit'
+      WHEN exit_reason IN ('stop_gap', 'take_profit_gap', 'max_holding') THEN exit_reason
+      WHEN exit_reason LIKE 'premature_data_end%' THEN 'data_end_or_haircut' ELSE 'other' END"""
+cte(
+    "uexits",
+    """SELECT * EXCLUDE (premature, raw, last_raw), CASE WHEN premature OR NOT closed0 THEN (SELECT e FROM win) ELSE exit0 END AS exit_date, closed0 OR premature AS is_closed,
+      raw AS exit_raw_price, CASE WHEN closed0 OR premature THEN raw * (1 - slip) ELSE raw END AS exit_fill_price,
+      CASE WHEN premature THEN 'premature_data_end_haircut' WHEN NOT closed0 THEN 'open_at_frozen_end' ELSE reason0 END AS exit_reason,
+      (CASE WHEN closed0 OR premature THEN raw * (1 - slip) ELSE raw END) * (1 - comm) / (entry_fill_price * (1 + comm)) - 1 AS net_return_pct
+    FROM (SELECT *, CASE WHEN premature THEN last_raw * 0.8 ELSE last_raw END AS raw FROM (
+      SELECT * EXCLUDE (is_closed, exit_date, exit_raw_price, exit_reason, exit_fill_price, net_return_pct), is_closed AS closed0, exit_date AS exit0,
+        exit_reason AS reason0, exit_raw_price AS last_raw, NOT is_closed AND exit_date < (SELECT e FROM win) AS premature,
+        CAST(ticker AS BIGINT) % 10 AS slot FROM ufills))""",
+    "ufills",
+)
+cte(
+    "ushadow",
+    f"""SELECT *, {EXIT_GROUP} AS normalized_exit_reason, CAST({EXIT_GROUP} IN ('stop_loss', 'stop_gap')
+        OR ({EXIT_GROUP} = 'max_holding' AND coalesce(net_return_pct < 0, false)) AS DOUBLE) AS negative_exit_burden
+    FROM (SELECT x.* EXCLUDE (is_closed, net_return_pct, exit_reason, exit_date), q.* EXCLUDE (universe, ticker, signal_date),
+        CASE WHEN entry_status <> 'filled' THEN 'MISSING_NEXT_SESSION' WHEN is_closed THEN 'COMPLETE' ELSE 'RIGHT_CENSORED' END AS shadow_status,
+        coalesce(is_closed, false) AS is_closed, CASE WHEN is_closed THEN net_return_pct END AS net_return_pct,
+        CASE WHEN entry_status = 'filled' THEN exit_reason END AS exit_reason,
+        CASE WHEN entry_status = 'filled' THEN CASE WHEN exit_reason = 'premature_data_end_haircut' THEN (SELECT e FROM win) ELSE exit_date END END AS exit_date
+      FROM uexits x LEFT JOIN (
+        SELECT universe, ticker, signal_date, greatest(max(ph / cash - 1), 0) AS mfe, least(min(pl / cash - 1), 0) AS mae,
+          max(c / cash - 1) FILTER (off = 9 AND ok) AS horizon_10, max(c / cash - 1) FILTER (off = 19 AND ok) AS horizon_20,
+          max(c / cash - 1) FILTER (off = 39 AND ok) AS horizon_40, max(c / cash - 1) FILTER (off = 59 AND ok) AS horizon_60
+        FROM (SELECT x.universe, x.ticker, x.signal_date, x.entry_fill_price * 1.001 AS cash, b."close" AS c, b.seq - x.entry_seq AS off,
+            CASE WHEN b.seq - x.entry_seq = hit AND hit_reason LIKE '%gap' THEN b."open"
+              WHEN b.seq - x.entry_seq = hit AND hit_reason <> 'max_holding' THEN greatest(b."open", hit_raw) ELSE b.high END AS ph,
+            CASE WHEN b.seq - x.entry_seq = hit AND hit_reason LIKE '%gap' THEN b."open"
+              WHEN b.seq - x.entry_seq = hit AND hit_reason IN ('stop_loss', 'stop_and_take_same_day_stop_first') THEN hit_raw ELSE b.low END AS pl,
+            hit IS NULL OR b.seq - x.entry_seq < hit OR hit_reason = 'max_holding' AS ok
+          FROM uexits x JOIN wbars b ON b.ticker = x.ticker AND b.seq BETWEEN x.entry_seq AND x.entry_seq + coalesce(hit, 59)) GROUP BY ALL) q
+      ON x.universe = q.universe AND x.ticker = q.ticker AND x.signal_date = q.signal_date)""",
+    "uexits", "wbars",
+)
+chain_ctes("lchain", "uexits", "universe, slot", "ticker")
+cte(
+    "ledger",
+    """SELECT x.*, 1000000.0 / (entry_fill_price * 1.001) AS shares FROM uexits x JOIN lchain c
+    ON x.universe = c.universe AND x.slot = c.slot AND x.signal_date = c.signal_date AND x.ticker = c.who""",
+    "rec_lchain",
+)
+cte(
+    "days",
+    f"""SELECT *, shares * (mark - coalesce(lag(mark) OVER (PARTITION BY universe, ticker, signal_date ORDER BY date), cash_in)) AS pnl_jpy,
+      {EXIT_GROUP} AS trade_exit_reason
+    FROM (SELECT t.*, CASE WHEN leaving THEN exit_fill_price * 0.999 ELSE b."close" END AS mark FROM (
+        SELECT l.*, s.date, is_closed AND s.date = exit_date AS leaving, entry_fill_price * 1.001 AS cash_in
+        FROM ledger l JOIN wsess s ON s.date BETWEEN entry_date AND exit_date) t
+      ASOF JOIN wbars b ON b.ticker = t.ticker AND t.date >= b.date)""",
+    "ledger", "wbars", "wsess",
+)
+cte(
+    "ucurve",
+    """SELECT universe, date, equity, equity - value AS cash, active_positions, CASE WHEN equity > 0 THEN value / equity END AS cash_utilization FROM (
+      SELECT a.universe, a.date, 1e7 + sum(coalesce(pnl, 0)) OVER (PARTITION BY a.universe ORDER BY a.date) AS equity, coalesce(value, 0) AS value,
+        coalesce(n, 0) AS active_positions
+      FROM (SELECT * FROM (SELECT DISTINCT universe FROM days), (SELECT date FROM wsess)) a LEFT JOIN (
+        SELECT universe, date, sum(pnl_jpy) AS pnl, coalesce(sum(shares * mark) FILTER (NOT leaving), 0) AS value, count(*) FILTER (NOT leaving) AS n
+        FROM days GROUP BY ALL) d USING (universe, date))
+    UNION ALL SELECT universe, (SELECT min(date) - 1 FROM wsess), 1e7, 1e7, 0, 0 FROM (SELECT DISTINCT universe FROM days)""",
+    "days",
+)
+cte(
+    "decisions",
+    """SELECT * EXCLUDE (dup, held, taken, valid, used, hn, sched_ok), coalesce(sched_ok AND bool_or(disposition = 'capacity_rejected' AND sched_ok)
+      OVER (PARTITION BY universe, entry_date), false) AS capacity_binding_session
+    FROM (SELECT *, CASE WHEN entry_date IS NULL THEN 'missing_next_session' WHEN dup OR held THEN 'duplicate_rejected' WHEN taken THEN 'accepted'
+        WHEN used >= 10 THEN 'capacity_rejected' WHEN NOT valid THEN 'missing_next_session' ELSE 'capacity_rejected' END AS disposition
+      FROM (SELECT *, hn + coalesce(sum(CASE WHEN sched_ok AND NOT held AND taken THEN 1 ELSE 0 END) OVER (PARTITION BY universe, entry_date
+            ORDER BY score DESC, median_va_60 DESC, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
+        FROM (SELECT *, entry_date IS NOT NULL AND NOT dup AS sched_ok FROM (
+          SELECT g.*, s.nxt AS entry_date,
+            EXISTS (SELECT 1 FROM ledger l WHERE l.universe = g.universe AND l.ticker = g.ticker AND l.entry_date <= g.signal_date AND l.exit_date > g.signal_date) AS dup,
+            EXISTS (SELECT 1 FROM ledger l WHERE l.universe = g.universe AND l.ticker = g.ticker AND l.entry_date < s.nxt
+              AND (l.exit_date > s.nxt OR (l.exit_date = s.nxt AND l.exit_reason NOT LIKE '%gap'))) AS held,
+            EXISTS (SELECT 1 FROM ledger l WHERE l.universe = g.universe AND l.ticker = g.ticker AND l.signal_date = g.signal_date) AS taken,
+            EXISTS (SELECT 1 FROM wbars b WHERE b.ticker = g.ticker AND b.date = s.nxt) AS valid,
+            (SELECT count(*) FROM ledger l WHERE l.universe = g.universe AND l.entry_date < s.nxt
+              AND (l.exit_date > s.nxt OR (l.exit_date = s.nxt AND l.exit_reason NOT LIKE '%gap'))) AS hn
+          FROM usignals g LEFT JOIN wsess s ON s.date = g.signal_date))))""",
+    "usignals", "ledger",
+)
+cte(
+    "accepted",
+    f"""SELECT l.universe, l.ticker, l.signal_date, l.entry_date, l.exit_date, l.score, l.sector, l.exit_reason, l.holding_sessions, l.net_return_pct,
+      l.is_closed, l.shares, g.bitmask, g.origin_group, s.shadow_status, s.mfe, s.mae, s.horizon_10, s.horizon_20, s.horizon_40, s.horizon_60,
+      {EXIT_GROUP.replace("exit_reason", "l.exit_reason")} AS normalized_exit_reason, s.negative_exit_burden,
+      l.shares * (l.exit_fill_price * 0.999 - l.entry_fill_price * 1.001) AS net_pnl_jpy
+    FROM ledger l JOIN usignals g ON g.universe = l.universe AND g.ticker = l.ticker AND g.signal_date = l.signal_date
+    JOIN ushadow s ON s.universe = l.universe AND s.ticker = l.ticker AND s.signal_date = l.signal_date""",
+    "ledger", "ushadow",
+)
+cte(
+    "quality",
+    """SELECT d.*, s.shadow_status, s.exit_date, s.holding_sessions, s.mfe, s.mae, s.horizon_10, s.is_closed, s.net_return_pct, s.exit_reason,
+      s.normalized_exit_reason, s.negative_exit_burden FROM decisions d JOIN ushadow s
+      ON s.universe = d.universe AND s.ticker = d.ticker AND s.signal_date = d.signal_date""",
+    "decisions", "ushadow",
+)
+cte("frets", """SELECT ticker, date, "close", weekly_above_200ma, weekly_macd_uptrend, "close" / lag("close") OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM idx_frame""", "idx_frame")
+cte(
+    "regime",
+    f"""SELECT c.universe, c.date, c.cash_utilization, c.active_positions, c.equity, coalesce(n, 0) AS active_member_count, above_share, uptrend_share,
+      median_return, return_std, coalesce(sn, 0) AS raw_signal_count, coalesce(accepted_count, 0) AS accepted_count,
+      coalesce(capacity_rejected_count, 0) AS capacity_rejected_count, coalesce(duplicate_rejected_count, 0) AS duplicate_rejected_count,
+      coalesce(missing_next_session_count, 0) AS missing_next_session_count, coalesce(invalid_bar_count, 0) AS invalid_bar_count,
+      coalesce(sn, 0) / nullif(coalesce(n, 0), 0) AS signal_breadth
+    FROM ucurve c JOIN wsess USING (date)
+    LEFT JOIN (SELECT universe, date, count(*) n, avg(weekly_above_200ma::INT) AS above_share, avg(weekly_macd_uptrend::INT) AS uptrend_share,
+        quantile_cont(ret, 0.5) AS median_return, stddev_pop(ret) AS return_std FROM ({member_sql("frets", "date")}) GROUP BY ALL) m USING (universe, date)
+    LEFT JOIN (SELECT universe, signal_date AS date, count(*) sn FROM usignals GROUP BY ALL) g USING (universe, date)
+    LEFT JOIN (SELECT universe, entry_date AS date, count(*) FILTER (disposition = 'accepted') AS accepted_count,
+        count(*) FILTER (disposition = 'capacity_rejected') AS capacity_rejected_count, count(*) FILTER (disposition = 'duplicate_rejected') AS duplicate_rejected_count,
+        count(*) FILTER (disposition = 'missing_next_session') AS missing_next_session_count, count(*) FILTER (disposition = 'invalid_bar') AS invalid_bar_count
+      FROM decisions GROUP BY ALL) d USING (universe, date)""",
+    "ucurve", "frets", "decisions", "yos", "members", "static",
+)
+cte(
+    "osplits",
+    """SELECT split, "start", "end", sessions FROM splits UNION ALL SELECT 'overall', min("start"), max("end"), CAST(sum(sessions) AS BIGINT) FROM splits""",
+    "splits",
+)
+cte("ucont", """SELECT a.*, p.split FROM accepted a JOIN osplits p ON signal_date BETWEEN p."start" AND p."end" AND entry_date >= p."start" AND exit_date <= p."end" """, "accepted", "osplits")
+cte("qcont", """SELECT a.*, p.split FROM quality a JOIN osplits p ON signal_date BETWEEN p."start" AND p."end" AND entry_date >= p."start" AND exit_date <= p."end" """, "quality", "osplits")
+cte("qcoh", """SELECT a.*, p.split FROM quality a JOIN osplits p ON signal_date BETWEEN p."start" AND p."end" """, "quality", "osplits")
+cte("uanch", """SELECT c.*, p.split FROM ucurve c JOIN osplits p ON c.date BETWEEN p."start" AND p."end"
+      OR c.date = (SELECT max(date) FROM ucurve d WHERE d.universe = c.universe AND d.date < p."start")""", "ucurve", "osplits")
+cte(
+    "episodes",
+    """SELECT *, row_number() OVER (PARTITION BY universe ORDER BY drawdown, start_date, trough_date) AS episode_rank FROM (
+      SELECT universe, min(date) AS start_date, arg_min(date, (equity, date)) FILTER (NOT top) AS trough_date,
+        lead(min(date)) OVER (PARTITION BY universe ORDER BY isl) AS recovery_date, min(equity) FILTER (NOT top) / max(equity) FILTER (top) - 1 AS drawdown,
+        min(equity) FILTER (NOT top) - max(equity) FILTER (top) AS equity_change_peak_to_trough
+      FROM (SELECT *, sum(top::INT) OVER (PARTITION BY universe ORDER BY date) AS isl FROM (
+        SELECT *, coalesce(equity >= max(equity) OVER (PARTITION BY universe ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS top FROM ucurve))
+      GROUP BY universe, isl) WHERE trough_date IS NOT NULL""",
+    "ucurve",
+)
+
+
+def conc_sql(src: str, dims: str, bucket: str, prefix: str, top: str, hhi: str, distinct: str, weight: str = "1.0") -> str:
+    return f"""SELECT {dims}, count(*) AS {prefix}{distinct}, max(w) / sum(w) AS {prefix}{top}, sum(w * w) / (sum(w) * sum(w)) AS {prefix}{hhi}
+      FROM (SELECT {dims}, coalesce({bucket}, '') AS b, sum({weight}) AS w FROM {src} GROUP BY ALL) GROUP BY {dims}"""
+
+
+def top_sql(src: str, dims: str, bucket: str, prefix: str, net: bool) -> str:
+    inner = f"SELECT {dims}, CAST({bucket} AS VARCHAR) AS b, -sum(pnl_jpy) AS w FROM {src} {'' if net else 'WHERE pnl_jpy < 0'} GROUP BY ALL"
+    return f"""SELECT {dims}, count(*) AS {prefix}_distinct_count, max(w) / sum(w) AS {prefix}_top_share, sum(w) FILTER (r <= 3) / sum(w) AS {prefix}_top3_share,
+      sum(w * w) / (sum(w) * sum(w)) AS {prefix}_hhi FROM (SELECT *, row_number() OVER (PARTITION BY {dims} ORDER BY w DESC, b) AS r FROM ({inner}) WHERE w > 0)
+      GROUP BY {dims}"""

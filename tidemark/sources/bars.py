@@ -93,14 +93,14 @@ def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("l_extendedprice").alias("va"),
         )
     )
-    level = F.sum(0.4 * F.col("g") - 0.4 * F.col("x")).over(
+    level = F.sum(0.3937 * F.col("g") - 0.3713 * F.col("x")).over(
         Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
         by_ticker(day)
         .withColumn("__lc", level)
         .withColumn("close", 1000 * F.exp("__lc"))
-        .withColumn("open", 1000 * F.exp(F.col("__lc") + 0.4 * F.col("x")))
+        .withColumn("open", 1000 * F.exp(F.col("__lc") + 0.3713 * F.col("x")))
         .select(
             "ticker",
             "date",
