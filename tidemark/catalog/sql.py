@@ -529,7 +529,7 @@ cte(
         lead(min(date)) OVER (PARTITION BY universe ORDER BY isl) AS recovery_date, min(equity) FILTER (NOT top) / max(equity) FILTER (top) - 1 AS drawdown,
         min(equity) FILTER (NOT top) - max(equity) FILTER (top) AS equity_change_peak_to_trough
       FROM (SELECT *, sum(top::INT) OVER (PARTITION BY universe ORDER BY date) AS isl FROM (
-        SELECT *, coalesce(equity >= max(equity) OVER (PARTITION BY universe ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS top FROM ucurve))
+        SELECT *, coalesce(equity >= max(equity) OVER (PARTITION BY universe ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS top FROM (SELECT * REPLACE (round(equity, 6) AS equity) FROM ucurve)))
       GROUP BY universe, isl) WHERE trough_date IS NOT NULL""",
     "ucurve",
 )
