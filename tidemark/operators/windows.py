@@ -211,3 +211,18 @@ def longest_run(
             F.max(F.col("base") + F.col("n")) - F.coalesce(F.max("last_pos"), F.lit(0)),
         ).cast("long").alias(out)
     )
+
+
+def count_before(df: DataFrame, keys: Sequence[str], pos: str, hit: Column, out: str, bucket: int = 1 << 16) -> DataFrame:
+    """Number of earlier ``hit`` rows per key in ``pos`` order (``pos`` is a whole number).
+
+    Counted in two levels, inside position buckets and over bucket totals, so a
+    key that holds a large part of all rows is spread over many tasks.
+    """
+    marked = df.withColumn("__h", F.coalesce(hit, F.lit(False)).cast("long")).withColumn("__pb", F.floor(F.col(pos) / bucket))
+    totals = marked.groupBy(*keys, "__pb").agg(F.sum("__h").alias("__bt"))
+    earlier = Window.partitionBy(*keys).orderBy("__pb").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*keys, "__pb", F.coalesce(F.sum("__bt").over(earlier), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy(*keys, "__pb").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    local = marked.withColumn("__in", F.coalesce(F.sum("__h").over(inside), F.lit(0)))
+    return local.join(base, [*keys, "__pb"]).withColumn(out, F.col("__base") + F.col("__in")).drop("__h", "__pb", "__in", "__base")

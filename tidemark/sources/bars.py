@@ -44,14 +44,18 @@ def by_ticker(df: DataFrame, key: str = "ticker") -> DataFrame:
     return df.repartition(n, key)
 
 
-def unit_price_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars with supplier as ticker and price = l_extendedprice / l_quantity.
+def unit_price_bars(spark: SparkSession, sf_dir: str, by_nation: bool = False) -> DataFrame:
+    """Daily bars with supplier (or its nation) as ticker and price = l_extendedprice / l_quantity.
 
     Aggregated by (ticker, date) with map-side partials first, so a supplier
     that holds a large part of all rows is reduced before it is brought together.
     """
-    li = read(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("ticker"),
+    rows, key = read(spark, sf_dir, "lineitem"), "l_suppkey"
+    if by_nation:
+        rows = rows.join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        key = "s_nationkey"
+    li = rows.select(
+        F.col(key).cast("string").alias("ticker"),
         F.col("l_shipdate").cast("date").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         # One long as sort key keeps the aggregate on the hash path.
