@@ -641,25 +641,27 @@ cte(
         arg_min(l_extendedprice / l_quantity, l_orderkey * 8388608 + l_linenumber * 1048576 + l_partkey % 1048576) AS entry_price
       FROM lineitem WHERE l_shipdate >= '2000-11-01' AND l_shipdate < '2001-01-15' GROUP BY ALL)""",
 )
-# Sequential admission per account, walked row by row.
+# Admission as counts of earlier slot takers per account.
 cte(
     "padm0",
-    f"""SELECT p.*, b."open" AS price, row_number() OVER (PARTITION BY p.account ORDER BY pos) AS rn, status IN ('', 'pending', 'waiting_capacity', 'waiting_price') AND signal_date < DATE '{LEDGER_DAY}' AS due
+    f"""SELECT p.*, b."open" AS price, status IN ('', 'pending', 'waiting_capacity', 'waiting_price') AND signal_date < DATE '{LEDGER_DAY}' AS due,
+      EXISTS (SELECT 1 FROM ppos q WHERE q.account = p.account AND q.ticker = p.ticker) AS held,
+      greatest(0, least(6 - (SELECT count(*) FROM ppos q WHERE q.account = p.account), 6)) AS slots
     FROM pp p LEFT JOIN unit b ON b.ticker = p.ticker AND b.date = DATE '{LEDGER_DAY}'""",
-    "pp", "unit",
+    "pp", "ppos", "unit",
 )
 cte(
-    "rec_pwalk",
-    """SELECT account, CAST(0 AS BIGINT) AS rn, list(DISTINCT ticker) FILTER (held) AS held, CAST(count(*) FILTER (held) AS BIGINT) AS open_n, 3000000.0 AS cash, '' AS new_status FROM (
-      SELECT account, ticker, true AS held FROM ppos WHERE account IN (SELECT account FROM pp) UNION ALL SELECT DISTINCT account, NULL, false FROM pp) GROUP BY account
-    UNION ALL
-    SELECT account, rn, CASE WHEN new_status = 'executed' THEN list_append(held, ticker) ELSE held END, open_n + (new_status = 'executed')::INT, cash - 500000.0 * (new_status = 'executed')::INT, new_status FROM (
-      SELECT w.account, r.rn, w.held, w.open_n, w.cash, r.ticker, CASE WHEN NOT due THEN r.status WHEN list_contains(coalesce(w.held, []), r.ticker) THEN 'skipped_already_held'
-        WHEN w.open_n >= 6 OR w.cash < 500000 THEN 'waiting_capacity' WHEN r.price IS NULL THEN 'waiting_price' ELSE 'executed' END AS new_status
-      FROM pwalk w JOIN padm0 r ON r.account = w.account AND r.rn = w.rn + 1)""",
-    "padm0", "ppos",
+    "padm1",
+    """SELECT *, coalesce(sum(CASE WHEN lead_row THEN 1 ELSE 0 END) OVER (PARTITION BY account ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM (
+      SELECT *, due AND NOT held AND price IS NOT NULL AND row_number() OVER (PARTITION BY account, ticker, due AND NOT held AND price IS NOT NULL ORDER BY pos) = 1 AS lead_row FROM padm0)""",
+    "padm0",
+)
+cte(
+    "padm",
+    """SELECT a.*, CASE WHEN NOT due THEN status WHEN held OR EXISTS (SELECT 1 FROM padm1 b WHERE b.account = a.account AND b.ticker = a.ticker AND b.lead_row AND b.used < b.slots AND b.pos < a.pos) THEN 'skipped_already_held'
+      WHEN used >= slots THEN 'waiting_capacity' WHEN price IS NULL THEN 'waiting_price' ELSE 'executed' END AS new_status FROM padm1 a""",
+    "padm1",
 )
-cte("padm", "SELECT a.*, w.new_status FROM padm0 a JOIN pwalk w ON w.account = a.account AND w.rn = a.rn", "rec_pwalk")
 
 
 @query(
@@ -671,7 +673,7 @@ cte("padm", "SELECT a.*, w.new_status FROM padm0 a JOIN pwalk w ON w.account = a
     dbl="entry_price shares", digits=4,
 )
 def pending_admission(spark, sf):
-    """One admission step; the oracle walks every account row by row."""
+    """One admission step over all accounts."""
     a = P.admit_pending(paper_pending(spark, sf), paper_positions(spark, sf), B.unit_price_bars(spark, sf), paper_accounts(spark, sf), ledger_day())
     return a.select("account", "pos", "ticker", "signal_date", "status", "new_status", "entry_price", "shares")
 
@@ -682,7 +684,7 @@ cte(
       SELECT *, reason IN ('stop_loss', 'take_profit', 'max_holding') AS sold FROM (
         SELECT p.*, b."close" AS c, coalesce(n, 0) AS holding_days, CASE WHEN b.date IS NULL THEN 'missing_price' WHEN b.low <= stop_price THEN 'stop_loss' WHEN b.high >= take_profit_price THEN 'take_profit'
             WHEN coalesce(n, 0) >= 60 THEN 'max_holding' ELSE 'no_exit' END AS reason
-        FROM ppos p ASOF LEFT JOIN (SELECT * FROM unit WHERE date <= DATE '{LEDGER_DAY}') b ON b.ticker = p.ticker AND DATE '{LEDGER_DAY}' >= b.date
+        FROM ppos p LEFT JOIN (SELECT * FROM unit WHERE date <= DATE '{LEDGER_DAY}' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1) b ON b.ticker = p.ticker
         LEFT JOIN (SELECT q.account, q.ticker, count(*) n FROM ppos q JOIN unit u ON u.ticker = q.ticker AND u.date BETWEEN q.entry_date AND DATE '{LEDGER_DAY}' GROUP BY ALL) h
           ON h.account = p.account AND h.ticker = p.ticker))""",
     "ppos", "unit",
@@ -811,7 +813,7 @@ def json_row_arrays(spark, sf):
 
 
 @query(
-    """SELECT 'endpoint' AS kind, e.name, coalesce(n, 0) AS n FROM (SELECT unnest(['/equities/bars/daily', '/equities/master', '/markets/calendar']) AS name) e
+    """SELECT 'endpoint' AS kind, name, coalesce(n, 0) AS n FROM (SELECT unnest(['/equities/bars/daily', '/equities/master', '/markets/calendar']) AS name) e
     FULL JOIN (SELECT CASE event_type WHEN 'view' THEN '/equities/bars/daily' WHEN 'click' THEN '/equities/master' ELSE '/' || event_type END AS name, count(*) n FROM events GROUP BY 1) a USING (name)
     UNION ALL SELECT 'status', CAST(CASE WHEN value > 100 THEN 500 WHEN value > 50 THEN 429 ELSE 200 END AS VARCHAR), count(*) FROM events GROUP BY ALL"""
 )
