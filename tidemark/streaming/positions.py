@@ -1,107 +1,98 @@
-"""Stateful processors: accepted-only dedup and the position exit monitor."""
+"""Keyed state: accepted-only dedup and the position exit monitor."""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.config import MAX_HOLDING_SESSIONS, STOP_LOSS_PCT, TAKE_PROFIT_PCT
 
 # State of an idle key is dropped after this long.
 STATE_TTL_MS = 180 * 24 * 3600 * 1000
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-EXIT_SCHEMA = T.StructType(
-    [
-        T.StructField("position_id", T.StringType()),
-        T.StructField("exit_seq", T.LongType()),
-        T.StructField("exit_price", T.DoubleType()),
-        T.StructField("exit_reason", T.StringType()),
-        T.StructField("bars_seen", T.LongType()),
-    ]
-)
-FIRST_SCHEMA = T.StructType([T.StructField("dedup_key", T.StringType()), T.StructField("alert_id", T.LongType())])
+EXIT_SCHEMA = "position_id string, exit_seq long, exit_price double, exit_reason string, bars_seen long"
+POSITION_STATE = "entry double, seen long, closed boolean"
+FIRST_SCHEMA = "dedup_key string, alert_id long"
+FIRST_STATE = "alert_id long"
 
 
-class FirstAccepted(StatefulProcessor):
-    """Emits the first passing alert of a key once; remembers only that it did."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getValueState("done", T.StructType([T.StructField("alert_id", T.LongType())]), ttlDurationMs=STATE_TTL_MS)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # The iterator is read in any case; the smallest id is all that is kept.
-        first = None
-        for pdf in rows:
-            low = int(pdf["alert_id"].min())
-            first = low if first is None else min(first, low)
-        if not self.done.exists() and first is not None:
-            self.done.update((first,))
-            yield pd.DataFrame({"dedup_key": [key[0]], "alert_id": [first]})
-
-    def close(self) -> None:
-        pass
+def timeout(expire: bool) -> str:
+    """Idle expiry keeps scheduling batches, so runs that end (availableNow) go without it."""
+    return GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
 
 
-class PositionMonitor(StatefulProcessor):
+def first_of_key(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState, expire: bool = False) -> Iterator[pd.DataFrame]:
+    """Emits the first passing alert of a key once; remembers only that it did."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    # The iterator is read in any case; the smallest id is all that is kept.
+    first = None
+    for pdf in rows:
+        low = int(pdf["alert_id"].min())
+        first = low if first is None else min(first, low)
+    if not state.exists and first is not None:
+        state.update((first,))
+        if expire:
+            state.setTimeoutDuration(STATE_TTL_MS)
+        yield pd.DataFrame({"dedup_key": [key[0]], "alert_id": [first]})
+
+
+def follow_position(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState, expire: bool = False) -> Iterator[pd.DataFrame]:
     """Follows one position: bought at the open of its first bar, then stop, take, holding limit.
 
     Rows of a batch come in any order. Only the earliest bars up to the holding
     limit can still matter, so at most that many are held while the batch is
     read, however many rows one position receives.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = [T.StructField("entry", T.DoubleType()), T.StructField("seen", T.LongType()), T.StructField("closed", T.BooleanType())]
-        self.state = handle.getValueState("position", T.StructType(fields), ttlDurationMs=STATE_TTL_MS)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        entry, seen, closed = self.state.get() if self.state.exists() else (None, 0, False)
-        room = 0 if closed else MAX_HOLDING_SESSIONS - seen
-        earliest: list[tuple] = []  # max-heap on the bar number
-        for pdf in rows:
-            if room <= 0:
-                continue
-            for seq, *prices in zip(pdf["seq"], pdf["open"], pdf["low"], pdf["high"], pdf["close"]):
-                item = (-int(seq), *map(float, prices))
-                if len(earliest) < room:
-                    heapq.heappush(earliest, item)
-                elif item > earliest[0]:
-                    heapq.heapreplace(earliest, item)
-        for neg, opened, low, high, close in sorted(earliest, reverse=True):
-            entry = opened if entry is None else entry
-            seen += 1
-            stop, take = entry * (1 + STOP_LOSS_PCT), entry * (1 + TAKE_PROFIT_PCT)
-            hit = (
-                ("stop_loss", stop) if low <= stop else ("take_profit", take) if high >= take
-                else ("max_holding", close) if seen >= MAX_HOLDING_SESSIONS else None
-            )
-            if hit:
-                closed = True
-                yield pd.DataFrame(
-                    {"position_id": [key[0]], "exit_seq": [-neg], "exit_price": [hit[1]], "exit_reason": [hit[0]], "bars_seen": [seen]}
-                )
-                break
-        if entry is not None:
-            self.state.update((entry, int(seen), closed))
-
-    def close(self) -> None:
-        pass
-
-
-def monitor(ticks: DataFrame) -> DataFrame:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    entry, seen, closed = state.get if state.exists else (None, 0, False)
+    room = 0 if closed else MAX_HOLDING_SESSIONS - seen
+    earliest: list[tuple] = []  # max-heap on the bar number
+    for pdf in rows:
+        if room <= 0:
+            continue
+        for seq, *prices in zip(pdf["seq"], pdf["open"], pdf["low"], pdf["high"], pdf["close"]):
+            item = (-int(seq), *map(float, prices))
+            if len(earliest) < room:
+                heapq.heappush(earliest, item)
+            elif item > earliest[0]:
+                heapq.heapreplace(earliest, item)
+    for neg, opened, low, high, close in sorted(earliest, reverse=True):
+        entry = opened if entry is None else entry
+        seen += 1
+        stop, take = entry * (1 + STOP_LOSS_PCT), entry * (1 + TAKE_PROFIT_PCT)
+        hit = (
+            ("stop_loss", stop) if low <= stop else ("take_profit", take) if high >= take
+            else ("max_holding", close) if seen >= MAX_HOLDING_SESSIONS else None
+        )
+        if hit:
+            closed = True
+            yield pd.DataFrame({"position_id": [key[0]], "exit_seq": [-neg], "exit_price": [hit[1]], "exit_reason": [hit[0]], "bars_seen": [seen]})
+            break
+    if entry is not None:
+        state.update((entry, int(seen), closed))
+        if expire:
+            state.setTimeoutDuration(STATE_TTL_MS)
+
+
+def monitor(ticks: DataFrame, expire: bool = False) -> DataFrame:
     """Exits of a stream of bars (position_id, seq, open, low, high, close)."""
-    ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return ticks.groupBy("position_id").transformWithStateInPandas(PositionMonitor(), EXIT_SCHEMA, "Append", "ProcessingTime")
+    def step(key, rows, state):
+        yield from follow_position(key, rows, state, expire)
 
+    return ticks.groupBy("position_id").applyInPandasWithState(step, EXIT_SCHEMA, POSITION_STATE, "append", timeout(expire))
 
-def first_accepted(passing: DataFrame) -> DataFrame:
+
+def first_accepted(passing: DataFrame, expire: bool = False) -> DataFrame:
     """First passing alert of each key of a stream (dedup_key, alert_id)."""
-    passing.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return passing.groupBy("dedup_key").transformWithStateInPandas(FirstAccepted(), FIRST_SCHEMA, "Append", "ProcessingTime")
+    def step(key, rows, state):
+        yield from first_of_key(key, rows, state, expire)
+
+    return passing.groupBy("dedup_key").applyInPandasWithState(step, FIRST_SCHEMA, FIRST_STATE, "append", timeout(expire))
