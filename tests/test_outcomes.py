@@ -71,8 +71,9 @@ def test_selection_equals_literal_loop(spark):
         frames.append(pd.DataFrame({"ticker": t, "date": [D0 + dt.timedelta(days=i) for i in range(400)], "open": o, "high": np.maximum(o, close) * 1.01, "low": np.minimum(o, close) * 0.99, "close": close, "volume": 1.0}))
         sigs += [{"ticker": t, "signal_date": D0 + dt.timedelta(days=int(d)), "score": 90} for d in sorted(rng.choice(400, 60, replace=False))]
     bars = spark.createDataFrame(pd.concat(frames))
-    exits = O.bracket_exits(spark.createDataFrame(pd.DataFrame(sigs)), O.number_bars(bars), cal.market_dates(bars), [PRIMARY]).toPandas()
-    got = O.select_non_overlapping(spark.createDataFrame(exits.astype({"is_closed": object})) if False else O.bracket_exits(spark.createDataFrame(pd.DataFrame(sigs)), O.number_bars(bars), cal.market_dates(bars), [PRIMARY]), ["scenario", "ticker"]).toPandas()
+    labelled = O.bracket_exits(spark.createDataFrame(pd.DataFrame(sigs)), O.number_bars(bars), cal.market_dates(bars), [PRIMARY])
+    exits = labelled.toPandas()
+    got = O.select_non_overlapping(labelled, ["scenario", "ticker"]).toPandas()
     for t, part in exits.groupby("ticker"):
         free, want = dt.date(1, 1, 1), {}
         for r in part.sort_values("signal_date").itertuples():
