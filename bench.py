@@ -18,10 +18,8 @@ from tidemark.catalog.registry import forget  # noqa: E402
 from tidemark.session import local_session  # noqa: E402
 
 HEADLINE = (
-    "daily_bars", "signal_counts", "signal_frame_with_liquidity", "weekly_asof_fill", "availability_audit", "daily_score_rows",
-    "bracket_exit_outcomes", "independent_trades", "scenario_sensitivity", "yearly_table", "sector_capped_universe",
-    "one_shot_outcomes", "position_day_pnl", "signal_dispositions", "capacity_attribution", "cluster_bootstrap",
-    "alert_validation", "accepted_only_dedup", "pending_admission", "adjustment_continuity",
+    "daily_bars", "signal_counts", "signal_frame_with_liquidity", "bracket_exit_outcomes", "independent_trades",
+    "sector_capped_universe", "accepted_only_dedup", "pending_admission", "adjustment_continuity",
 )
 
 
@@ -34,7 +32,9 @@ def main() -> None:
         forget()
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return round(time.perf_counter() - start, 3)
+        took = round(time.perf_counter() - start, 3)
+        print(f"{name} {took}", file=sys.stderr, flush=True)
+        return took
 
     run("signal_counts")
     seconds = {name: run(name) for name in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")}
