@@ -801,7 +801,7 @@ def json_sink(spark, sf):
     """SELECT CAST(o_orderkey AS VARCHAR) AS "Code", CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS "Date" FROM orders"""
 )
 def json_row_arrays(spark, sf):
-    """Array-of-objects files of one folder in one read."""
+    """Row arrays of one folder in one read, one array per line."""
     path = scratch(spark, "rows")
     o = B.read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("Code"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"), F.year("o_orderdate").alias("y"), F.col("o_custkey") % 64)
     # Arrays of at most a few hundred rows, one per (year, bucket, block of keys).
