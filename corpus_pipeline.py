@@ -1,2 +1,61 @@
-ORACLE_SQL=None
-def run(spark, sf_dir): pass
+"""The documents of a training corpus: quality rules, line dedup, near duplicates, decontamination, mixing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate as leaks
+from tidemark.llm import jaccard_join, line_dedup, mixing, quality_rules
+from tidemark.llm.frames import table
+from tidemark.session import prepare, stage
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; the line labels are learned from the labelled documents."""
+    field = quality_rules.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs.select(*COLUMNS), field).where("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; a document that had words and has none left is a copy and goes."""
+    out = line_dedup.dedup(docs.select(*COLUMNS)).where("n_lines = 0 or n_kept > 0")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of the n-gram Jaccard join: five words, 0.8; the one with the smallest doc_id."""
+    groups = jaccard_join.join(docs, width=5, percent=80)
+    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut from the texts; documents of nothing else go."""
+    out = leaks.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix with the words it takes from each: doc_id, source, size, source_size, target, taken."""
+    return mixing.mix(docs).where("taken > 0")
+
+
+STAGES = [
+    ("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination), ("mixing sources", mixture),
+]
+
+#: The first three stages are not expressible in SQL; tests hold them against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``, each written to the shared folder and read again."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -74,24 +74,25 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    sums: np.ndarray
 
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes between two positions."""
+        return mix((self.sums[end] - self.sums[start]) * _power(_P_INVERSE, len(self.sums))[start] + (end - start).astype(np.uint64))
 
-def words(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> Words:
-    """Lower-cased words of the texts between ``offsets``.
 
-    ``cuts`` are further positions at which a word starts anew; all positions
-    count from the start of ``data``.
-    """
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
+    """Words of the texts between ``offsets``, A-Z lower-cased unless ``lower`` is false. Positions count from the first text."""
     base = int(offsets[0])
-    data = LOWER[data[base : int(offsets[-1])]]
+    data = data[base : int(offsets[-1])]
+    data = LOWER[data] if lower else data
     bounds = offsets - base
     n = len(data)
     solid = ~SPACE[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
-    for edges in (bounds,) if cuts is None else (bounds, cuts - base):
-        inner = edges[edges < n]
-        begins[inner] = solid[inner]
+    inner = bounds[bounds < n]
+    begins[inner] = solid[inner]
     start = np.flatnonzero(begins)
     stops = np.zeros(n + 1, bool)
     stops[:n] = ~solid
@@ -101,8 +102,9 @@ def words(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None)
     end = marks[np.searchsorted(marks, start, "right")]
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_P, n), out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * _power(_P_INVERSE, n + 1)[start] + (end - start).astype(np.uint64))
-    return Words(data, start, end, np.searchsorted(start, bounds), hashed)
+    out = Words(data, start, end, np.searchsorted(start, bounds), start, sums)
+    out.hash = out.spans(start, end)
+    return out
 
 
 def shingles(w: Words, text: int, width: int) -> np.ndarray:
