@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules
+from tidemark.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules, suffix_tree
 from tidemark.session import prepare
 
-_ALL = (mixing.op1_mixing, decontaminate.op3_decontaminate, line_dedup.op4_line_dedup, quality_rules.op7_quality_rules, jaccard_join.op10_jaccard_join)
+_ALL = (mixing.op1_mixing, decontaminate.op3_decontaminate, line_dedup.op4_line_dedup, quality_rules.op7_quality_rules, suffix_tree.op8_suffix_tree, jaccard_join.op10_jaccard_join)
 
 
 def _prepared(fn):
