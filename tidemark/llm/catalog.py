@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules, suffix_tree
+from tidemark.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules, style_tree, suffix_tree, toxicity, transcripts, url_filter
 from tidemark.session import prepare
 
-_ALL = (mixing.op1_mixing, decontaminate.op3_decontaminate, line_dedup.op4_line_dedup, quality_rules.op7_quality_rules, suffix_tree.op8_suffix_tree, jaccard_join.op10_jaccard_join)
+_ALL = (
+    mixing.op1_mixing, style_tree.op2_style_tree, decontaminate.op3_decontaminate, line_dedup.op4_line_dedup, transcripts.op5_transcripts,
+    url_filter.op6_url_filter, quality_rules.op7_quality_rules, suffix_tree.op8_suffix_tree, toxicity.op9_toxicity, jaccard_join.op10_jaccard_join,
+)
 
 
 def _prepared(fn):
