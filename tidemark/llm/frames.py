@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +53,27 @@ def cells(members: DataFrame, group: str, node: str, limit: int) -> DataFrame:
     dealt = members.join(sizes, group).withColumn("part", part)
     with_each = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, F.col("part")) * F.col("parts") + F.greatest(k, F.col("part")))
     return dealt.withColumn("cell", F.explode(with_each)).drop("parts", "part")
+
+
+def links_of_groups(members: DataFrame, keys: list[str], links: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): what ``links`` finds in each group of rows with equal ``keys``.
+
+    A partition holds whole groups and is read as one Arrow table, which costs
+    less than a call with a frame for each of many small groups.
+    """
+
+    def run(batches):
+        held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        made: list[tuple[int, int]] = []
+        if held is not None and held.num_rows:
+            held = held.sort_by([(k, "ascending") for k in keys])
+            key = list(zip(*(held.column(k).to_pylist() for k in keys), strict=True))
+            start = 0
+            for k in range(1, len(key) + 1):
+                if k == len(key) or key[k] != key[start]:
+                    if k - start > 1:
+                        made += links(held.slice(start, k - start))
+                    start = k
+        yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in made], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return members.repartition(*keys).mapInArrow(run, "a long, b long")
