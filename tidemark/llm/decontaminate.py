@@ -94,8 +94,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ma
     joined = source.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tk") == F.col("k")), "left")
     joined = joined.where(F.col("spans").isNull() | ((F.col("n_hit") < F.col("n_words")) & (F.col("n_hit") <= max_share * F.col("n_words"))))
     # Words and what lies between them alternate, so the text can be put together again without the hit words.
-    gaps = F.split("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    own = F.filter(F.split("text", BETWEEN), lambda w: w != "")
+    # Here A-Z are still letters.
+    gaps = F.split("text", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    own = F.filter(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
     hit = lambda i: F.exists("spans", lambda s: (s["at"] <= i) & (i < s["to"]))
     inner = lambda i: F.exists("spans", lambda s: (s["at"] < i) & (i < s["to"]))
     words = F.transform(own, lambda w, i: F.when(hit(i), F.lit("")).otherwise(w))

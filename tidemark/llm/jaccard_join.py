@@ -69,7 +69,7 @@ class Shells:
 def regions(held: np.ndarray, shells: Shells) -> np.ndarray:
     """Keys of the outer regions of one set of shingle hashes (ascending)."""
     keys = []
-    for shell in shells.of(len(held)):
+    for shell in shells.of(len(held)) if len(held) else ():
         reach = shells.reach[shell]
         if reach == 0:
             continue  # only equal sets link, and those are one node
