@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,11 +44,11 @@ def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Folder for staged tables: the cluster's checkpoint dir, or a new local one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tidemark-stage-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+    """Folder for staged tables: the cluster's checkpoint dir or, where it is unset, one in the warehouse.
+
+    Both are shared by the driver and the executors.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
     return configured.rstrip("/")
 
 
