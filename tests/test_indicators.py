@@ -27,12 +27,23 @@ def frame(spark, pdf, **kw):
 
 def test_ewm_equals_pandas_across_blocks(spark):
     pdf = bars()
-    got = W.ewm(spark.createDataFrame(pdf), {"y": ("close", 1 / 14, 14, 0)}, ["ticker"], block=512).orderBy("date").toPandas()["y"]
+    got = W.ewm(spark.createDataFrame(pdf), {"y": ("close", 1 / 14, 14, 0)}, ["ticker"]).orderBy("date").toPandas()["y"]
     want = pdf["close"].ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()
     assert got.isna().sum() == 13
     assert np.allclose(got[13:], want[13:], rtol=1e-12)
 
 
+def test_ewm_of_any_alpha_and_length_equals_pandas(spark):
+    pdf = bars(5000)
+    alphas = {"a": 0.001, "b": 0.005, "c": 0.05, "d": 0.6, "e": 0.999, "f": 1.0}
+    got = W.ewm(spark.createDataFrame(pdf), {n: ("close", a, 1, 0) for n, a in alphas.items()}, ["ticker"]).orderBy("date").toPandas()
+    assert list(got.columns) == [*pdf.columns, *alphas]
+    for n, a in alphas.items():
+        assert np.allclose(got[n], pdf["close"].ewm(alpha=a, adjust=False).mean(), rtol=1e-11), a
+    with pytest.raises(ValueError, match="alpha"):
+        W.block_length(0.0)
+
+
 def test_window_indicators_equal_pandas_kernel(spark):
     pdf = pd.concat([bars(300, "a"), bars(200, "b")])
     df = spark.createDataFrame(pdf)

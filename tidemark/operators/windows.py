@@ -6,6 +6,7 @@ the calendar, whatever the number of input rows behind a key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -67,12 +68,29 @@ def ewm_columns(
 
     ``specs`` maps output -> (input, alpha, min_periods, leading nulls). The
     recursion is unrolled to a weighted prefix sum. Rows are cut into blocks of
-    ``block`` observations so that the weights stay in double range however long
-    a series is: a value is the prefix sum of its own block plus the total of
-    the block before; older blocks weigh less than (1-a)^block, which is below
-    double precision for the spans used here. Both windows are ordered
-    (keys, block, order), so one sort serves them.
+    observations so that the weights stay in double range however long a series
+    is: a value is the prefix sum of its own block plus the total of the block
+    before. ``block_length`` makes blocks so long that those before them weigh
+    less than 1e-20. Both windows are ordered (keys, block, order), so one sort
+    serves all means of one block length; the usual spans share ``block``.
     """
+    out = df
+    for size in sorted({block_length(alpha, block) for _, alpha, _, _ in specs.values()}):
+        out = _ewm_blocks(out, {n: s for n, s in specs.items() if block_length(s[1], block) == size}, keys, order, size)
+    return out
+
+
+def block_length(alpha: float, block: int = EWM_BLOCK) -> int:
+    """``block`` if (1-alpha)^block is between 1e-100 and 1e-20, otherwise the length that makes it about 1e-100."""
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
+    decay = -math.log10(1 - alpha) if alpha < 1 else math.inf
+    return block if 20 <= decay * block <= 100 else max(1, int(100 / decay))
+
+
+def _ewm_blocks(df: DataFrame, specs: dict[str, tuple[str, float, int, int]], keys: Sequence[str], order: str, block: int) -> DataFrame:
+    shown = df.columns
+    df = df.withColumns({"__blk": F.floor((F.col("__rn") - 1) / block), "__off": (F.col("__rn") - 1) % block}) if block != EWM_BLOCK else df
     inside = Window.partitionBy(*keys, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("__blk").rangeBetween(-1, -1)
     terms = [
@@ -88,7 +106,10 @@ def ewm_columns(
         ).alias(n)
         for n, (_, a, m, lead) in specs.items()
     ]
-    return df.select("*", *terms).select("*", *sums, *carry).select(*df.columns, *values)
+    out = df.select("*", *terms).select("*", *sums, *carry)
+    # Later means of another length find the columns of ``numbered`` again.
+    restored = [F.floor((F.col("__rn") - 1) / EWM_BLOCK).alias(c) if c == "__blk" else ((F.col("__rn") - 1) % EWM_BLOCK).alias(c) if c == "__off" else F.col(c) for c in shown]
+    return out.select(*(restored if block != EWM_BLOCK else shown), *values)
 
 
 def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int, int]], keys: Sequence[str], order: str = "date", block: int = EWM_BLOCK) -> DataFrame:
