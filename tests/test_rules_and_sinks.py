@@ -75,6 +75,23 @@ def test_upsert_last_update_wins_and_new_keys_all_append(spark):
     assert tuple(counts.first()) == (2, 2)
 
 
+def test_publish_keeps_the_last_of_repeated_updates(spark):
+    base = stage_root(spark) + f"/pub-{dt.datetime.now().timestamp()}"
+    first = spark.createDataFrame([("a", 0, 0), ("b", 0, 0)], "k string, v long, p long")
+    again = spark.createDataFrame([("a", v, "n", v) for v in (3, 5, 1, 4, 2)] + [("c", 9, "n", 6)], "k string, v long, note string, p long")
+    K.publish(spark, base, {"t": (first, ["k"], "p")}, "1")
+    counts = K.publish(spark, base, {"t": (again, ["k"], "p")}, "2", "1")
+    assert sorted(map(tuple, spark.read.parquet(K.keyed_path(base, "t", "2")).collect())) == [("a", 5, "n"), ("b", 0, ""), ("c", 9, "n")]
+    assert tuple(counts.first()) == ("t", 1, 5)
+    K.publish(spark, base, {"t": (first, ["k"], "p")}, "2", "1", dry_run=True)
+    assert spark.read.parquet(K.keyed_path(base + "/preview", "t", "2")).count() == 2
+
+
+@pytest.mark.parametrize("n,want", [(7, "0007"), (1234, "1234"), (12345, "12345")])
+def test_padding_cuts_nothing(spark, n, want):
+    assert spark.range(1).select(V.zero_padded(F.lit(n), 4)).first()[0] == want
+
+
 def test_missing_csv_gives_no_rows(spark):
     df = files.read_csv_rows(spark, stage_root(spark) + "/absent.csv", ["a", "b"])
     assert df.count() == 0 and df.columns == ["a", "b"]
@@ -117,3 +134,15 @@ def test_position_monitor_in_batches(spark):
     q.writeStream.format("parquet").option("path", root + "/o").option("checkpointLocation", root + "/c").trigger(availableNow=True).start().awaitTermination()
     got = {r.position_id: (r.exit_reason, r.exit_seq, r.bars_seen) for r in spark.read.parquet(root + "/o").collect()}
     assert got == {"hold": ("max_holding", 59, 60), "stop": ("stop_loss", 5, 6)}
+
+
+def test_position_monitor_drops_late_and_repeated_bars(spark):
+    root = stage_root(spark) + f"/l-{dt.datetime.now().timestamp()}"
+    schema = "position_id string, seq long, open double, low double, high double, close double"
+    bar = lambda i, low=99.0: ("x", i, 100.0, low, 101.0, 100.0)
+    batches = [[bar(i) for i in range(10, 50)], [bar(i, 10.0) for i in range(10)] + [bar(i, 10.0) for i in range(30, 50)], [bar(i) for i in range(50, 75)] * 2]
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(root + "/in")
+    q = SP.monitor(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root + "/in"))
+    q.writeStream.format("parquet").option("path", root + "/o").option("checkpointLocation", root + "/c").trigger(availableNow=True).start().awaitTermination()
+    assert [(r.exit_reason, r.exit_seq, r.bars_seen) for r in spark.read.parquet(root + "/o").collect()] == [("max_holding", 69, 60)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.diagnostics import diag
 from tidemark.catalog.registry import query, shared
-from tidemark.catalog.sql import cte, sql
+from tidemark.catalog.sql import cte, padded, sql
 from tidemark.config import STRONG_SECTORS
 from tidemark.functions import rules as R
 from tidemark.functions import values as V
@@ -89,7 +89,7 @@ cte(
 def alert_metadata(spark, sf):
     s = B.read(spark, sf, "supplier")
     return s.select(
-        F.concat(F.col("s_suppkey").cast("string"), F.lit(".T")).alias("ticker"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0").alias("code"),
+        F.concat(F.col("s_suppkey").cast("string"), F.lit(".T")).alias("ticker"), V.zero_padded(F.col("s_suppkey"), 4).alias("code"),
         F.col("s_name").alias("name"), F.element_at(F.array(*[F.lit(x) for x in SECTOR_NAMES]), F.col("s_nationkey") % 7 + 1).alias("sector"), F.col("s_acctbal").cast("string").alias("market_cap"),
         F.when(F.col("s_acctbal") > 1000, "Large").otherwise("Mid").alias("market_cap_bucket"),
     )
@@ -261,7 +261,7 @@ def signal_messages(spark, sf):
 
 
 @query(
-    f"""SELECT 'TSE:' || code AS symbol, ticker, code, name, sector FROM (SELECT s_suppkey || '.T' AS ticker, lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS code, s_name AS name,
+    f"""SELECT 'TSE:' || code AS symbol, ticker, code, name, sector FROM (SELECT s_suppkey || '.T' AS ticker, {padded('s_suppkey', 4)} AS code, s_name AS name,
     {SECTORS_SQL}[1 + s_nationkey % 7] AS sector, s_acctbal FROM supplier) WHERE s_acctbal > 1000 AND sector NOT IN ('Retail', 'Banks')"""
 )
 def watchlist(spark, sf):
@@ -322,6 +322,11 @@ def run_ids(spark, sf):
 # --- provider rows -----------------------------------------------------------------------
 
 
+def security_code(key: str):
+    """Five characters for a key of up to 36 to the fifth; a longer code fails the code check."""
+    return V.zero_padded(F.conv(F.col(key), 10, 36), 5)
+
+
 def provider_bars(spark, sf):
     """Line items as landed provider bars: repeats per (Date, Code), some values not numbers."""
     bad = F.col("l_quantity") == 13
@@ -332,7 +337,7 @@ def provider_bars(spark, sf):
         "AdjFactor": num(F.when(F.col("l_discount") == 0.05, 0.5).when(F.col("l_discount") == 0.06, 2.0).otherwise(1.0)), "AdjO": num(price * 10), "AdjH": num(price * 15), "AdjL": num(price * 5),
         "AdjC": num(price * 10 + 10), "AdjVo": num(F.col("l_quantity")),
     }
-    code = F.concat(F.lpad(F.col("l_suppkey").cast("string"), 4, "0"), F.lit("0"))
+    code = security_code("l_suppkey")
     pos = F.col("l_orderkey") * 8388608 + F.col("l_linenumber") * 1048576 + F.col("l_partkey") % 1048576
     return B.read(spark, sf, "lineitem").select(
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("Date"), F.concat(F.lit(" "), code).alias("Code"), *[c.alias(n) for n, c in cols.items()], pos.alias("ingest_pos")
@@ -341,7 +346,7 @@ def provider_bars(spark, sf):
 
 cte(
     "prov",
-    """SELECT CAST(l_shipdate AS DATE) AS Date, lpad(CAST(l_suppkey AS VARCHAR), 4, '0') || '0' AS Code, l_extendedprice / l_quantity AS p, l_quantity AS q, l_extendedprice AS v,
+    """SELECT CAST(l_shipdate AS DATE) AS Date, to_base(l_suppkey, 36, 5) AS Code, l_extendedprice / l_quantity AS p, l_quantity AS q, l_extendedprice AS v,
       CASE WHEN l_discount = 0.05 THEN 0.5 WHEN l_discount = 0.06 THEN 2.0 ELSE 1.0 END AS f FROM lineitem
     QUALIFY row_number() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE) ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey % 1048576 DESC) = 1""",
 )
@@ -389,21 +394,21 @@ def removed_row_audit(spark, sf):
 
 
 def landed_master(spark, sf):
-    """Customers as landed issue-master rows: each issuer repeats under its nation and segment."""
-    c = B.read(spark, sf, "customer")
+    """Customers as landed issue-master rows: an older row of each issuer carries another name and product."""
+    c = B.read(spark, sf, "customer").withColumn("current", F.explode(F.array(F.lit(False), F.lit(True))))
     mkt = F.element_at(F.array(*[F.lit(x) for x in ("0101", "0102", "0106", "0111", "0112", "0109")]), F.col("c_nationkey") % 6 + 1)
     return c.select(
-        F.lit("2001-04-02").alias("Date"), F.concat(F.lpad((F.col("c_custkey") % 500).cast("string"), 4, "0"), F.lit("0 ")).alias("Code"),
-        F.when(F.col("c_acctbal") > 500, "011").otherwise(" 012").alias("ProdCat"), mkt.alias("Mkt"), F.when(F.col("c_nationkey") == 3, "9999").otherwise(F.lpad(F.col("c_nationkey").cast("string"), 4, "0")).alias("S33"),
-        F.col("c_mktsegment").alias("S33Nm"), F.col("c_name").alias("CoName"), F.col("c_custkey").alias("ingest_pos"),
+        F.lit("2001-04-02").alias("Date"), F.concat(security_code("c_custkey"), F.lit(" ")).alias("Code"),
+        F.when(~F.col("current"), "013").when(F.col("c_acctbal") > 500, "011").otherwise(" 012").alias("ProdCat"), mkt.alias("Mkt"), F.when(F.col("c_nationkey") == 3, "9999").otherwise(F.lpad(F.col("c_nationkey").cast("string"), 4, "0")).alias("S33"),
+        F.col("c_mktsegment").alias("S33Nm"), F.when(F.col("current"), F.col("c_name")).otherwise("old").alias("CoName"), F.col("current").cast("long").alias("ingest_pos"),
     )
 
 
 cte(
     "mast",
-    """SELECT DATE '2001-04-02' AS "Date", lpad(CAST(c_custkey % 500 AS VARCHAR), 4, '0') || '0' AS "Code", CASE WHEN c_acctbal > 500 THEN '011' ELSE '012' END AS "ProdCat",
+    """SELECT DATE '2001-04-02' AS "Date", to_base(c_custkey, 36, 5) AS "Code", CASE WHEN c_acctbal > 500 THEN '011' ELSE '012' END AS "ProdCat",
       ['0101', '0102', '0106', '0111', '0112', '0109'][1 + c_nationkey % 6] AS "Mkt", CASE WHEN c_nationkey = 3 THEN '9999' ELSE lpad(CAST(c_nationkey AS VARCHAR), 4, '0') END AS "S33",
-      c_mktsegment AS "S33Nm", c_name AS "CoName" FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey % 500 ORDER BY c_custkey DESC) = 1""",
+      c_mktsegment AS "S33Nm", c_name AS "CoName" FROM customer""",
 )
 
 
@@ -614,12 +619,12 @@ def paper_pending(spark, sf):
 
 
 def paper_positions(spark, sf):
-    """One position per supplier and line status out of its first shipment of 2000."""
-    li = B.read(spark, sf, "lineitem").where("l_shipdate >= '2000-11-01' AND l_shipdate < '2001-01-15'")
+    """One position per supplier and line status, bought at its last shipment before the ledger day."""
+    li = B.read(spark, sf, "lineitem").where(F.col("l_shipdate") < LEDGER_DAY)
     acc = F.element_at(F.create_map(*[F.lit(x) for x in ("A", "view", "N", "click", "R", "purchase")]), F.col("l_returnflag"))
     pos = F.col("l_orderkey") * 8388608 + F.col("l_linenumber") * 1048576 + F.col("l_partkey") % 1048576
     g = li.groupBy(acc.alias("account"), F.col("l_suppkey").cast("string").alias("ticker")).agg(
-        F.min(F.col("l_shipdate").cast("date")).alias("entry_date"), F.min_by(F.col("l_extendedprice") / F.col("l_quantity"), pos).alias("entry_price")
+        F.max(F.col("l_shipdate").cast("date")).alias("entry_date"), F.max_by(F.col("l_extendedprice") / F.col("l_quantity"), pos).alias("entry_price")
     )
     return g.select("*", (500_000 / F.col("entry_price")).alias("shares"), F.lit(500_000.0).alias("allocation"), (F.col("entry_price") * 0.9).alias("stop_price"), (F.col("entry_price") * 1.3).alias("take_profit_price"))
 
@@ -636,10 +641,10 @@ cte(
 )
 cte(
     "ppos",
-    """SELECT *, 500000 / entry_price AS shares, entry_price * 0.9 AS stop_price, entry_price * 1.3 AS take_profit_price FROM (
-      SELECT CASE l_returnflag WHEN 'A' THEN 'view' WHEN 'N' THEN 'click' ELSE 'purchase' END AS account, CAST(l_suppkey AS VARCHAR) AS ticker, CAST(min(l_shipdate) AS DATE) AS entry_date,
-        arg_min(l_extendedprice / l_quantity, l_orderkey * 8388608 + l_linenumber * 1048576 + l_partkey % 1048576) AS entry_price
-      FROM lineitem WHERE l_shipdate >= '2000-11-01' AND l_shipdate < '2001-01-15' GROUP BY ALL)""",
+    f"""SELECT *, 500000 / entry_price AS shares, entry_price * 0.9 AS stop_price, entry_price * 1.3 AS take_profit_price FROM (
+      SELECT CASE l_returnflag WHEN 'A' THEN 'view' WHEN 'N' THEN 'click' ELSE 'purchase' END AS account, CAST(l_suppkey AS VARCHAR) AS ticker, CAST(max(l_shipdate) AS DATE) AS entry_date,
+        arg_max(l_extendedprice / l_quantity, l_orderkey * 8388608 + l_linenumber * 1048576 + l_partkey % 1048576) AS entry_price
+      FROM lineitem WHERE l_shipdate < '{LEDGER_DAY}' GROUP BY ALL)""",
 )
 # Admission as counts of earlier slot takers per account.
 cte(
@@ -729,13 +734,13 @@ def account_snapshot(spark, sf):
 
 @query(
     sql(
-        """SELECT alert_id, 'PO' || lpad(CAST(m + row_number() OVER (ORDER BY alert_id) AS VARCHAR), 6, '0') AS pending_order_id FROM alog, (SELECT count(*) AS m FROM supplier) WHERE reason = 'accepted'""",
+        f"""SELECT alert_id, 'PO' || {padded('m + row_number() OVER (ORDER BY alert_id)', 6)} AS pending_order_id FROM alog, (SELECT max(s_suppkey) + 1 AS m FROM supplier) WHERE reason = 'accepted'""",
         "alog",
     )
 )
 def sequence_ids(spark, sf):
     """Ids for accepted alerts after one existing order per supplier."""
-    existing = B.read(spark, sf, "supplier").select(F.concat(F.lit("PO"), F.lpad((F.col("s_suppkey") + 1).cast("string"), 6, "0")).alias("pending_order_id"))
+    existing = B.read(spark, sf, "supplier").select(F.concat(F.lit("PO"), V.zero_padded(F.col("s_suppkey") + 1, 6)).alias("pending_order_id"))
     v = SA.mark_duplicates(SA.validate_alerts(alert_payloads(spark, sf), alert_metadata(spark, sf), RULES)).where("reason = 'accepted'")
     new = v.select("alert_id", F.lit(None).cast("string").alias("pending_order_id"))
     return P.allocate_ids(new, existing, "pending_order_id", "PO", "alert_id").select("alert_id", "pending_order_id")
@@ -866,17 +871,31 @@ def credential_scan(spark, sf):
     return files.credential_counts(d)
 
 
-@query("""SELECT CAST(count(*) AS BIGINT) AS inserted_rows, (SELECT count(*) FROM supplier) AS updated_rows FROM customer""")
-def publish_job(spark, sf):
-    """Two publish runs of score rows and a run log: the second updates, appends and evolves the header."""
+def published(spark, sf):
+    """Two publish runs of score rows and a run log: the second updates some keys twice, appends and evolves the header."""
     base = scratch(spark, "ledger")
     s, c = B.read(spark, sf, "supplier"), B.read(spark, sf, "customer")
-    first = s.select(F.lit("d1").alias("requested_as_of"), F.col("s_name").alias("ticker"), F.lit("0").alias("stable_score"))
-    again = first.withColumn("stable_score", F.lit("90")).withColumn("note", F.lit("new column"))
-    more = c.select(F.lit("d1").alias("requested_as_of"), F.col("c_name").alias("ticker"), F.lit("50").alias("stable_score"), F.lit("").alias("note"))
-    K.publish(spark, base, {"score": (first, ["requested_as_of", "ticker"])})
-    counts = K.publish(spark, base, {"score": (again.unionByName(more), ["requested_as_of", "ticker"]), "run_log": (first.limit(0), None)})
-    return counts.where("table = 'score'").select(F.col("inserted").alias("inserted_rows"), F.col("updated").alias("updated_rows"))
+    row = lambda name, score, note, pos: [F.lit("d1").alias("requested_as_of"), F.col(name).alias("ticker"), F.lit(score).alias("stable_score"), F.lit(note).alias("note"), F.lit(pos).alias("pos")]
+    keys = ["requested_as_of", "ticker"]
+    again = s.where("s_suppkey % 2 = 0").select(*row("s_name", "95", "again", 2)).unionByName(s.select(*row("s_name", "90", "new column", 1)))
+    log = c.select(F.lit("r2").alias("run_id"), F.col("c_name").alias("ticker"))
+    K.publish(spark, base, {"score": (s.select(*row("s_name", "0", "", 0)).drop("note"), keys, "pos"), "run_log": (log.drop("ticker"), None, None)}, "r1")
+    counts = K.publish(spark, base, {"score": (again.unionByName(c.select(*row("c_name", "50", "", 3))), keys, "pos"), "run_log": (log, None, None)}, "r2", "r1")
+    return counts, spark.read.parquet(K.keyed_path(base, "score", "r2"))
+
+
+@query("""SELECT 'd1' AS requested_as_of, s_name AS ticker, CASE WHEN s_suppkey % 2 = 0 THEN '95' ELSE '90' END AS stable_score, CASE WHEN s_suppkey % 2 = 0 THEN 'again' ELSE 'new column' END AS note FROM supplier
+  UNION ALL SELECT 'd1', c_name, '50', '' FROM customer""")
+def publish_job(spark, sf):
+    """The score table after two publish runs."""
+    return published(spark, sf)[1].select("requested_as_of", "ticker", "stable_score", "note")
+
+
+@query("""SELECT 'score' AS "table", (SELECT count(*) FROM customer) AS inserted_rows, (SELECT count(*) + count(*) FILTER (s_suppkey % 2 = 0) FROM supplier) AS updated_rows
+  UNION ALL SELECT 'run_log', (SELECT count(*) FROM customer), 0""")
+def publish_counts(spark, sf):
+    """Rows that the second publish run inserted and updated."""
+    return published(spark, sf)[0].select("table", F.col("inserted").alias("inserted_rows"), F.col("updated").alias("updated_rows"))
 
 
 @query(
@@ -934,7 +953,7 @@ def alert_log_stream(spark, sf):
 
 @query(
     sql(
-        """SELECT 'PO' || lpad(CAST(row_number() OVER (ORDER BY alert_id) AS VARCHAR), 6, '0') AS pending_order_id, signal_date, ticker, name, sector, CAST(rs AS BIGINT) AS score FROM alog WHERE reason = 'accepted'""",
+        f"""SELECT 'PO' || {padded('row_number() OVER (ORDER BY alert_id)', 6)} AS pending_order_id, signal_date, ticker, name, sector, CAST(rs AS BIGINT) AS score FROM alog WHERE reason = 'accepted'""",
         "alog",
     )
 )

@@ -63,6 +63,11 @@ cte(
 )
 
 
+def padded(x: str, width: int) -> str:
+    """Zeros in front up to ``width``; longer text stays whole."""
+    return f"CASE WHEN length(CAST({x} AS VARCHAR)) < {width} THEN lpad(CAST({x} AS VARCHAR), {width}, '0') ELSE CAST({x} AS VARCHAR) END"
+
+
 def ewm_sql(rows: str, x: str, alpha: str, n: int, out: str, key: str = "ticker", order: str = "date") -> str:
     """Recursive mean as a weighted prefix sum over the non-null rows."""
     return f"""SELECT *, CASE WHEN {x} IS NOT NULL AND k_{out} >= {n}
@@ -330,7 +335,7 @@ cte(
 cte(
     "sched",
     """SELECT y.year, s.i AS sel, s.date AS selection_date, c.date AS cutoff_date, a.date AS short_start, b.date AS long_start
-    FROM (SELECT CAST(year(date) AS INT) AS year, min(i) AS i FROM idx_sess WHERE month(date) = 4 AND year(date) BETWEEN 1996 AND 2001 GROUP BY 1) y
+    FROM (SELECT CAST(year(date) AS INT) AS year, min(i) AS i FROM idx_sess WHERE month(date) = 4 GROUP BY 1) y
     JOIN idx_sess s USING (i) JOIN idx_sess c ON c.i = y.i - 1 JOIN idx_sess a ON a.i = y.i - 60 JOIN idx_sess b ON b.i = y.i - 252""",
     "idx_sess",
 )

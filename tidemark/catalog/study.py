@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query, shared
-from tidemark.catalog.sql import CSTATS_DBL, TSTATS_DBL, cstats, sql, tstats
+from tidemark.catalog.sql import CSTATS_DBL, TSTATS_DBL, cstats, padded, sql, tstats
 from tidemark.config import PRIMARY
 from tidemark.operators import calendar as cal
 from tidemark.operators import metrics as M
@@ -71,7 +71,7 @@ def bracket_exit_outcomes(spark, sf):
 
 @query(
     sql(
-        """SELECT 'all-' || ticker || '-' || lpad(CAST(trade_seq AS VARCHAR), 4, '0') AS trade_id, scenario, ticker, name, sector, signal_date, score,
+        f"""SELECT 'all-' || ticker || '-' || {padded('trade_seq', 4)} AS trade_id, scenario, ticker, name, sector, signal_date, score,
         entry_date, exit_date, exit_reason, holding_sessions, net_return_pct, is_closed FROM trades""",
         "trades",
     ),

@@ -71,10 +71,15 @@ def strict_security_code(x: Column | str) -> Column:
     )
 
 
+def zero_padded(number: Column, width: int) -> Column:
+    """Zeros in front up to ``width``; lpad alone would cut longer input."""
+    digits = number.cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
 def ticker_to_code(x: Column | str) -> Column:
     head = F.split_part(text(x), F.lit("."), F.lit(1))
-    # lpad cuts longer input, so only short heads are padded.
-    return F.concat(F.when(F.length(head) < 4, F.lpad(head, 4, "0")).otherwise(head), F.lit("0"))
+    return F.concat(zero_padded(head, 4), F.lit("0"))
 
 
 def parse_date(x: Column | str) -> Column:

@@ -78,14 +78,21 @@ def with_next_session(df: DataFrame, sessions: DataFrame, on: str, date_out: str
     return df.join(bounded(nxt, CALENDAR_ROWS), on, "left")
 
 
-def annual_schedule(sessions: DataFrame, start_year: int, end_year: int, month: int = 4, short: int = 60, long: int = 252) -> DataFrame:
-    """First session of the month per year with cutoff and trailing-window starts."""
-    years = sessions.sparkSession.range(start_year, end_year + 1).select(F.col("id").cast("int").alias("year"))
+def annual_schedule(sessions: DataFrame, start_year: int | None = None, end_year: int | None = None, month: int = 4, short: int = 60, long: int = 252) -> DataFrame:
+    """First session of the month per year with cutoff and trailing-window starts.
+
+    Without a first and last year, all years of the calendar whose first session
+    of the month has a whole window behind it; a given year must have one.
+    """
     first = (
         sessions.where(F.month("date") == month)
         .groupBy(F.year("date").alias("year"))
         .agg(F.min("idx").alias("idx"))
     )
+    if start_year is None or end_year is None:
+        years = first.where(F.col("idx") >= long).select("year")
+    else:
+        years = sessions.sparkSession.range(start_year, end_year + 1).select(F.col("id").cast("int").alias("year"))
     # At most one row per year.
     base = years.join(F.broadcast(first), "year", "left").withColumn(
         "idx",

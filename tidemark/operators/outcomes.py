@@ -15,7 +15,7 @@ from tidemark.config import (
     TAKE_PROFIT_PCT,
     Scenario,
 )
-from tidemark.functions.values import valid_bar
+from tidemark.functions.values import valid_bar, zero_padded
 from tidemark.operators.calendar import last_day, session_spine, with_next_session
 from tidemark.operators.windows import series
 
@@ -332,7 +332,7 @@ def accepted_trades(statuses: DataFrame, universe: str, key: str = "ticker") ->
     """Accepted trades with their readable id."""
     tag = F.replace(F.col(key), F.lit("."), F.lit(""))
     return statuses.where("status = 'accepted'").withColumn(
-        "trade_id", F.concat_ws("-", F.lit(universe), tag, F.lpad(F.col("trade_seq").cast("string"), 4, "0"))
+        "trade_id", F.concat_ws("-", F.lit(universe), tag, zero_padded(F.col("trade_seq"), 4))
     ).drop("status", "entry_status", "entry_idx")
 
 

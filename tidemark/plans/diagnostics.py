@@ -24,7 +24,6 @@ RULES = (
     UniverseRule("liquid100", 100, 6, 30_000.0, 300.0, 0.10, 12),
 )
 STATIC_REGION = "ASIA"
-YEARS = (1996, 2001)
 
 
 @dataclass
@@ -43,7 +42,7 @@ class Diagnostics:
 
     @cached_property
     def schedule(self) -> DataFrame:
-        return stage(cal.annual_schedule(self.all_sessions, *YEARS).coalesce(1), "schedule")
+        return stage(cal.annual_schedule(self.all_sessions).coalesce(1), "schedule")
 
     @cached_property
     def facts(self) -> DataFrame:

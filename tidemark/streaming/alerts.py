@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rules import MESSAGE_FLOOR, AlertRules, alert_reason, parse_alerts, score_alerts, tiered_message, with_tiered_score
 from tidemark.operators.paper import allocate_ids
-from tidemark.sources.sinks import VersionedTable
+from tidemark.sources.sinks import written
 
 LOG_COLUMNS = ("alert_id", "received_at", "ticker", "signal_date", "dedup_key", "stable_score_payload", "stable_score_recomputed", "price", "reason")
 
@@ -64,11 +64,10 @@ class AlertIntake:
         self.spark, self.base, self.metadata, self.rules = spark, base.rstrip("/"), metadata, rules
 
     def _earlier(self, table: str, batch: int, schema: str) -> DataFrame:
-        if not VersionedTable(self.spark, self.base, table)._versions():
+        found = written(self.spark, f"{self.base}/{table}", schema + ", v string", basePath=f"{self.base}/{table}")
+        if found is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema + ", v string").option("basePath", f"{self.base}/{table}").parquet(f"{self.base}/{table}").where(
-            F.split_part("v", F.lit("-"), F.lit(1)).cast("long") < batch
-        ).drop("v")
+        return found.where(F.split_part("v", F.lit("-"), F.lit(1)).cast("long") < batch).drop("v")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         log_schema = "alert_id long, received_at timestamp, ticker string, signal_date string, dedup_key string, stable_score_payload double, stable_score_recomputed long, price string, reason string, m_name string, m_sector string"

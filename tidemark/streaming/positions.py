@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from tidemark.config import MAX_HOLDING_SESSIONS, STOP_LOSS_PCT, TAKE_PROFIT_PCT
 STATE_TTL_MS = 180 * 24 * 3600 * 1000
 
 EXIT_SCHEMA = "position_id string, exit_seq long, exit_price double, exit_reason string, bars_seen long"
-POSITION_STATE = "entry double, seen long, closed boolean"
+POSITION_STATE = "entry double, seen long, closed boolean, last long"
 FIRST_SCHEMA = "dedup_key string, alert_id long"
 FIRST_STATE = "alert_id long"
 
@@ -45,28 +44,25 @@ def first_of_key(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState, ex
 def follow_position(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState, expire: bool = False) -> Iterator[pd.DataFrame]:
     """Follows one position: bought at the open of its first bar, then stop, take, holding limit.
 
-    Rows of a batch come in any order. Only the earliest bars up to the holding
+    Rows of a batch come in any order; a bar that is not after the last one seen
+    (late or repeated) is dropped. Only the earliest bars up to the holding
     limit can still matter, so at most that many are held while the batch is
     read, however many rows one position receives.
     """
     if state.hasTimedOut:
         state.remove()
         return
-    entry, seen, closed = state.get if state.exists else (None, 0, False)
+    entry, seen, closed, last = state.get if state.exists else (None, 0, False, None)
     room = 0 if closed else MAX_HOLDING_SESSIONS - seen
-    earliest: list[tuple] = []  # max-heap on the bar number
+    held = None
     for pdf in rows:
-        if room <= 0:
-            continue
-        for seq, *prices in zip(pdf["seq"], pdf["open"], pdf["low"], pdf["high"], pdf["close"]):
-            item = (-int(seq), *map(float, prices))
-            if len(earliest) < room:
-                heapq.heappush(earliest, item)
-            elif item > earliest[0]:
-                heapq.heapreplace(earliest, item)
-    for neg, opened, low, high, close in sorted(earliest, reverse=True):
+        new = pdf if last is None else pdf[pdf["seq"] > last]
+        if room > 0 and len(new):
+            held = (new if held is None else pd.concat([held, new])).drop_duplicates("seq").nsmallest(room, "seq")
+    columns = ("seq", "open", "low", "high", "close")
+    for seq, opened, low, high, close in [] if held is None else zip(*(held[c].tolist() for c in columns), strict=True):
         entry = opened if entry is None else entry
-        seen += 1
+        seen, last = seen + 1, seq
         stop, take = entry * (1 + STOP_LOSS_PCT), entry * (1 + TAKE_PROFIT_PCT)
         hit = (
             ("stop_loss", stop) if low <= stop else ("take_profit", take) if high >= take
@@ -74,10 +70,10 @@ def follow_position(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState,
         )
         if hit:
             closed = True
-            yield pd.DataFrame({"position_id": [key[0]], "exit_seq": [-neg], "exit_price": [hit[1]], "exit_reason": [hit[0]], "bars_seen": [seen]})
+            yield pd.DataFrame({"position_id": [key[0]], "exit_seq": [seq], "exit_price": [hit[1]], "exit_reason": [hit[0]], "bars_seen": [seen]})
             break
     if entry is not None:
-        state.update((entry, int(seen), closed))
+        state.update((entry, int(seen), closed, last))
         if expire:
             state.setTimeoutDuration(STATE_TTL_MS)
 
