@@ -9,7 +9,7 @@ text into every cell. The space is therefore cut twice:
    shell is copied into it (the window). J >= t leaves at most r differing
    shingles to two sets of a shell, so of r + 1 (and a few more) hashed pieces
    of the shingle universe at least some hold the same shingles in both: sets
-   that agree in a piece share a region. Pieces of under ``PIECE`` shingles say
+   that agree in a piece share a region. Pieces of very few shingles say
    little and are skipped; a set with too many of those is cut again by another
    hash, until enough remain, so no link is lost.
 2. Inner regions. Each connected group of outer regions is joined exactly on
@@ -32,8 +32,10 @@ from tidemark.llm.frames import cells, components, table
 from tidemark.llm.tokens import mix, shingles, slices, text_bytes, words
 from tidemark.session import stage
 
-#: Fewest shingles in a piece that makes a region.
-PIECE = 3
+#: Least similarity (per cent), fewest shingles in a piece that makes a region, growth of sizes from shell to shell, pieces
+#: to spare as a share of the differing shingles. A set of n shingles has about n / (differing * (1 + spare)) in a piece;
+#: with fewer than that in most pieces, no round of cuts would do.
+SHAPES = ((88, 3, (5, 4), 1 / 8), (0, 2, (9, 8), 1 / 2))
 #: Documents of a group that one task joins.
 CELL = 800
 #: Below this many, a region is compared pair by pair.
@@ -48,9 +50,10 @@ class Shells:
 
     def __init__(self, percent: int):
         self.percent, self.low, self.reach = percent, [1], []
+        _, self.piece, (up, down), self.spare = next(x for x in SHAPES if percent >= x[0])
         while self.low[-1] < 1 << 40:
             low = self.low[-1]
-            high = max(low + 1, -(-low * 5 // 4))
+            high = max(low + 1, -(-low * up // down))
             while not self.low[1:] and self.differing(high) == 0:
                 high += 1
             self.reach.append(self.differing(high - 1))
@@ -73,7 +76,7 @@ def regions(held: np.ndarray, shells: Shells) -> np.ndarray:
         reach = shells.reach[shell]
         if reach == 0:
             continue  # only equal sets link, and those are one node
-        pieces, round_, least = reach + 1 + reach // 8, 0, PIECE
+        pieces, round_, least = reach + 1 + int(reach * shells.spare), 0, shells.piece
         while True:
             spread = mix(held + np.uint64((shell << 20) + round_ + 1))
             piece = (spread % np.uint64(pieces)).astype(np.int64)
@@ -86,7 +89,7 @@ def regions(held: np.ndarray, shells: Shells) -> np.ndarray:
             if pieces - len(strong) < pieces - reach:
                 break
             round_ += 1
-            least = PIECE if round_ < 40 else 1
+            least = shells.piece if round_ < 40 else 1
     return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
