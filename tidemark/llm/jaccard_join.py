@@ -108,19 +108,28 @@ def _node(held: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, node, regions) per row of ``docs``; node is null without words."""
+    """(doc_id, n_shingles, node, regions) per row of ``docs``; node is null without words.
+
+    Of equal sets in a partition the first has the regions, so copies do not
+    repeat them for the shuffle by region.
+    """
     shells = Shells(percent)
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            held = list(_sets(width, batch.column("text")))
-            keys = [regions(x, shells).view(np.int64) for x in held]
+            node, keys, size = [], [], []
+            for held in _sets(width, batch.column("text")):
+                size.append(len(held))
+                node.append(_node(held) if len(held) else None)
+                keys.append(np.zeros(0, np.int64) if node[-1] in seen else regions(held, shells).view(np.int64))
+                seen.add(node[-1])
             ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
-                    pa.array([len(x) for x in held], pa.int64()),
-                    pa.array([_node(x) if len(x) else None for x in held], pa.int64()),
+                    pa.array(size, pa.int64()),
+                    pa.array(node, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]), pa.int64())),
                 ],
                 names=["doc_id", "n_shingles", "node", "regions"],
@@ -234,7 +243,7 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     without words link with nothing. An empty table gives an empty result.
     """
     rows = stage(sketch(docs, width, percent), "sets")
-    keys = rows.where("node is not null").select("node", F.explode("regions").alias("region")).distinct()
+    keys = rows.where("node is not null").select("node", F.explode("regions").alias("region"))
     keys = keys.withColumn("lead", F.expr("min(node) over (partition by region)"))
     outer = components(keys.where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")))
 
