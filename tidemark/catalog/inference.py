@@ -10,8 +10,8 @@ from tidemark.catalog.sql import conc_sql, cte, sql, tstats
 from tidemark.operators import inference as inf
 from tidemark.operators import metrics as M
 
-# The supplied tables span two years after warm-up; sample limits are scaled to them.
-POLICY = inf.Policy(min_trades=3, min_clusters=3, replicates=2000)
+# The supplied tables span two years after warm-up; sample limits are scaled to them, replicates are not.
+POLICY = inf.Policy(min_trades=3, min_clusters=3)
 EXPANDED = ("liquid50", "liquid100")
 PAIR = "hypothesis, universe, split"
 
@@ -63,14 +63,15 @@ cte(
       coalesce(valid_replicate_fraction >= 0.99 AND same_direction_fraction >= 0.95
         AND ((ci_low > 0 AND observed_difference > 0) OR (ci_high < 0 AND observed_difference < 0)), false) AS direction_stable
     FROM hobs o LEFT JOIN (
-      SELECT {PAIR}, count(*) / 2000.0 AS valid_replicate_fraction, avg((sign(x) = sign(od))::INT) AS same_direction_fraction,
+      SELECT {PAIR}, count(*) / 10000.0 AS valid_replicate_fraction, avg((sign(x) = sign(od))::INT) AS same_direction_fraction,
         quantile_cont(x, 0.025) AS ci_low, quantile_cont(x, 0.975) AS ci_high
       FROM (SELECT {PAIR}, rep, any_value(od) AS od, sum(ls) / sum(lc) - sum(rs) / sum(rc) AS x FROM (
           SELECT d.hypothesis, d.universe, d.split, d.rep, d.od, c.ls, c.lc, c.rs, c.rc FROM (
             SELECT *, {draw_sql("seed", "m")} AS j FROM (
-              SELECT {PAIR}, observed_difference AS od, signal_month_clusters AS m, {seed_sql("hypothesis || ':' || universe || ':' || split")} AS seed FROM hobs
+              SELECT {PAIR}, observed_difference AS od, signal_month_clusters AS m, unnest(range(1, signal_month_clusters + 1)) AS i,
+                {seed_sql("hypothesis || ':' || universe || ':' || split")} AS seed FROM hobs
               WHERE left_closed_trades >= 3 AND right_closed_trades >= 3 AND signal_month_clusters >= 3 AND observed_difference <> 0),
-              (SELECT unnest(range(0, 2000)) AS rep), (SELECT unnest(range(1, 1201)) AS i) WHERE i <= m) d
+              (SELECT unnest(range(0, 10000)) AS rep)) d
           JOIN (SELECT *, row_number() OVER (PARTITION BY {PAIR} ORDER BY month) - 1 AS j FROM hmonths) c USING ({PAIR}, j))
         GROUP BY ALL HAVING sum(lc) > 0 AND sum(rc) > 0) GROUP BY ALL) b USING ({PAIR})""",
     "hobs", "hmonths",
@@ -125,8 +126,8 @@ def cluster_bootstrap(spark, sf):
         o AS (SELECT universe, count(*) AS m, avg(diff) AS od, {seed_sql("'paired:' || universe")} AS seed FROM p GROUP BY universe),
         c AS (SELECT *, row_number() OVER (PARTITION BY universe ORDER BY month) - 1 AS j FROM p),
         x AS (SELECT universe, rep, any_value(od) AS od, avg(diff) AS x FROM (
-          SELECT q.universe, q.rep, q.od, c.diff FROM (SELECT *, {draw_sql("seed", "m")} AS j FROM o, (SELECT unnest(range(0, 2000)) AS rep), (SELECT unnest(range(1, 1201)) AS i)
-            WHERE i <= m AND m >= 3) q JOIN c USING (universe, j)) GROUP BY ALL),
+          SELECT q.universe, q.rep, q.od, c.diff FROM (SELECT *, {draw_sql("seed", "m")} AS j FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM o WHERE m >= 3),
+            (SELECT unnest(range(0, 10000)) AS rep)) q JOIN c USING (universe, j)) GROUP BY ALL),
         b AS (SELECT universe, avg((sign(x) = CASE WHEN od > 0 THEN 1 ELSE -1 END)::INT) AS same_direction_fraction, quantile_cont(x, 0.025) AS ci_low,
           quantile_cont(x, 0.975) AS ci_high FROM x GROUP BY universe)
         SELECT universe, m AS paired_months, CASE WHEN m >= 3 THEN od END AS observed_difference, same_direction_fraction, ci_low, ci_high,
