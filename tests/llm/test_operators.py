@@ -210,6 +210,22 @@ def test_style_tree_extracts_articles(spark):
     assert (got[21].text, got[22].text, got[23].text) == ("", "", "cut &am")
 
 
+def _extracted(spark, rows):
+    return {r.page_id: r.text for r in style_tree.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_style_tree_keeps_what_is_below_a_repeated_text(spark):
+    form = "<body><a href='#c'>Skip to content</a><div class=wrap>All you need<main><h1>Head {0}</h1>" + "<p>Own words {0} of this page</p>" + "</main></div></body>"
+    pages = spark.createDataFrame([(i, f"http://c.com/{i}", form.format(i)) for i in range(8)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in style_tree.extract_text(pages).collect()} == {i: f"Head {i}\nOwn words {i} of this page" for i in range(8)}
+    node = {r.style: r for r in style_tree.importance(pages).collect()}
+    # By hand: main holds two children of full importance and always looks the same; wrap is main and its own repeated text; body the text and wrap.
+    main, wrap = 0.9**2, 0.9 * (0 + 0.9**2) / 2
+    want = {"/body/div.wrap/main/p": 1, "/body/div.wrap/main": main, "/body/div.wrap": wrap, "/body": 0.9 * wrap / 2, "": 0.9 * 0.9 * wrap / 2}
+    assert {k: node[k].importance for k in want} == pytest.approx(want)
+    assert node["/body"].content == node["/body/div.wrap"].content == 0
+
+
 def test_transcripts_in_segments_equal_whole_ones(spark):
     turns = table(spark, SF, "conversations")
     model = transcripts.train(transcripts.segments(turns))

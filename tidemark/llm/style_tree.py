@@ -5,9 +5,13 @@ classes from the root; a host's style tree counts, per style node, the pages
 that have it, the sequences of child blocks below it (presentation styles) and
 the texts in it. Importance is an entropy in units of log(pages): of the
 presentation styles for inner nodes, of the pages that share a text for content
-(1 if no page shares it, 0 if all pages say the same), joined bottom-up. All
-counts are ordinary aggregates by (host, node), so a host with many pages is
-spread over tasks and never in one.
+(1 if no page shares it, 0 if all pages say the same), joined bottom-up: a
+branch is its own presentation and the mean of its texts and child branches,
+weighted by how many children it has. All counts are ordinary aggregates by
+(host, node) and the branches aggregates over path prefixes, so a host with many
+pages is spread over tasks and never in one. Copies of a page count once.
+
+A text goes if its node says the same on the pages of the host.
 """
 
 from __future__ import annotations
@@ -24,14 +28,15 @@ from tidemark.llm.frames import table
 from tidemark.llm.url_filter import host_of
 from tidemark.session import stage
 
-#: Style nodes of less importance go, with what is below them; where a host has at least PAGES pages with the node.
+#: Texts of style nodes of less importance go; where a host has at least PAGES pages with the node.
 LEAST, PAGES = 0.3, 5
-#: Weight of a node's own presentation for each child less.
+#: Weight of the branches below a node against its own presentation, for each child; and of a text against the branch it is in.
 GAMMA = 0.9
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head title script style noscript template svg math iframe object canvas select option button input textarea form nav footer aside dialog menu".split())
+HIDDEN = frozenset("head title script style noscript template svg math iframe object canvas select option button input textarea".split())
+BESIDE = frozenset("form nav footer aside dialog menu".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -53,7 +58,8 @@ _BREAK = re.compile(r"[^0-9a-zA-Z]+|(?<=[a-z0-9])(?=[A-Z])")
 class Node:
     tag: str
     style: str
-    noise: bool
+    hidden: bool  # never shown
+    noise: bool  # its own tag or name says so
     inside: bool
     children: list = field(default_factory=list)  # Nodes and texts
 
@@ -63,7 +69,7 @@ class _Builder(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("", "", False, False)
+        self.root = Node("", "", False, False, False)
         self.open: list[tuple[str, Node | None]] = [("", self.root)]
 
     @property
@@ -97,11 +103,12 @@ class _Builder(HTMLParser):
         hidden = tag in HIDDEN or "hidden" in named or re.search(r"display:\s*none", str(named.get("style") or "")) is not None
         header = tag == "header" and not up.inside  # an article's own header may hold its title
         main = tag in ("article", "main") or "articlebody" in label.lower()
-        noise = up.noise or hidden or header or (bool(own & NOISE) and not main and tag not in ("html", "body"))
+        hidden = up.hidden or hidden
+        noise = tag in BESIDE or header or (bool(own & NOISE) and not main and tag not in ("html", "body"))
         node = None
-        if tag in BLOCK or noise and not up.noise:
+        if tag in BLOCK or noise or hidden and not up.hidden:
             style = f"{up.style}/{tag}" + (f".{'.'.join(sorted(own))}" if own else "")
-            node = Node(tag, re.sub(r"\d+", "0", style), noise, up.inside or main)
+            node = Node(tag, re.sub(r"\d+", "0", style), hidden, noise, up.inside or main)
             up.children.append(node)
         self.open.append((tag, node))
 
@@ -145,19 +152,19 @@ def _texts(node: Node):
 
 
 def styles(root: Node):
-    """(style node, kind, feature) of a page: kind 0 the children's tags, kind 1 a text."""
+    """(style node, kind, feature, children) of the shown part of a page: kind 0 the children's tags and how many, kind 1 a text."""
     todo = [root]
     while todo:
         node = todo.pop()
         inner = [x for x in node.children if isinstance(x, Node)]
-        yield node.style, 0, ",".join(x.style.rpartition("/")[2] for x in inner)
+        yield node.style, 0, ",".join(x.style.rpartition("/")[2] for x in inner), len(inner)
         for text in _texts(node):
-            yield node.style, 1, text
-        todo += inner
+            yield node.style, 1, text, 0
+        todo += [x for x in inner if not x.hidden]
 
 
 def extract(root: Node, low: set[str]) -> str:
-    """Texts of the blocks in page order without noise and without the style nodes in ``low``, one per line.
+    """Texts of the blocks in page order without noise and without the texts of the style nodes in ``low``, one per line.
 
     Blocks inside an article or main element are the page's content whatever
     their importance: copies of one article on a site would otherwise remove
@@ -165,30 +172,26 @@ def extract(root: Node, low: set[str]) -> str:
     """
     out: list[str] = []
     whole = _has_article(root)
-
-    def walk(root: Node) -> None:
-        todo: list = [root]
-        while todo:
-            node = todo.pop()
-            if isinstance(node, str):
-                out.append(node)
-                continue
-            if node.noise or (node.style in low and not node.inside):
+    todo: list = [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        if node.noise or node.hidden:
+            continue
+        keep, parts, run = node.inside or not whole and node.style not in low, [], []
+        for x in [*node.children, None]:
+            if isinstance(x, str):
+                run.append(x)
                 continue
-            keep, parts, run = node.inside or not whole, [], []
-            for x in [*node.children, None]:
-                if isinstance(x, str):
-                    run.append(x)
-                    continue
-                text = " ".join("".join(run).split())
-                if text and keep:
-                    parts.append(text)
-                if x is not None:
-                    parts.append(x)
-                run = []
-            todo += reversed(parts)
-
-    walk(root)
+            text = " ".join("".join(run).split())
+            if text and keep:
+                parts.append(text)
+            if x is not None:
+                parts.append(x)
+            run = []
+        todo += reversed(parts)
     return "\n".join(out)
 
 
@@ -196,36 +199,65 @@ def _has_article(root: Node) -> bool:
     todo = [root]
     while todo:
         node = todo.pop()
-        if node.inside and not node.noise:
+        if node.inside and not node.noise and not node.hidden:
             return True
-        todo += [x for x in node.children if isinstance(x, Node)]
+        todo += [x for x in node.children if isinstance(x, Node) and not (x.noise or x.hidden)]
     return False
 
 
 def _style_rows(batches):
     for batch in batches:
         out: list[tuple] = []
-        for row, host, html in zip(*(batch.column(c).to_pylist() for c in ("row", "host", "html")), strict=True):
-            out += [(row, host, *x) for x in set(styles(parse(html)))]
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["row", "host", "style", "kind", "feature"])
+        for host, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True):
+            out += [(host, *x) for x in set(styles(parse(html)))]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["host", "style", "kind", "feature", "children"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
     """(host, style, pages, presentation, content, importance) of the style nodes of ``pages`` (url, html)."""
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    seen = rows.mapInArrow(_style_rows, "row long, host string, style string, kind int, feature string")
-    counted = stage(seen.groupBy("host", "style", "kind", F.xxhash64("feature").alias("feature")).agg(F.count("*").alias("n")), "styles")
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).distinct()
+    seen = rows.mapInArrow(_style_rows, "host string, style string, kind int, feature string, children int")
+    counted = stage(seen.groupBy("host", "style", "kind", "children", F.xxhash64("feature").alias("feature")).agg(F.count("*").alias("n")), "styles")
     # Every page has one kind-0 row per different child sequence of a node; most have one, so their sum counts the pages.
     total = F.sum(F.when(F.col("kind") == 0, F.col("n")))
     nodes = counted.groupBy("host", "style").agg(
-        total.alias("pages"), F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("own"),
+        total.alias("pages"), F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("own"), (F.sum(F.col("n") * F.col("children")) / total).alias("children"),
         F.sum(F.when(F.col("kind") == 1, F.log("n") * F.col("n"))).alias("shared"), F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("texts"),
     )
     scale = F.log("pages")
     presentation = F.when(F.col("pages") > 1, 1 - F.col("own") / F.col("pages") / scale).otherwise(1.0)
     content = F.when(F.col("texts").isNull(), None).otherwise(F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("shared") / F.col("texts") / scale)).otherwise(1.0))
-    return nodes.select("host", "style", "pages", presentation.alias("presentation"), content.alias("content"), F.coalesce(F.greatest(content, (1 - GAMMA) * presentation), presentation).alias("importance"))
+    nodes = nodes.select("host", "style", "pages", "children", presentation.alias("presentation"), content.alias("content"))
+    return stage(_joined(nodes), "importance")
+
+
+def _joined(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the importance of their branches.
+
+    A branch is (1 - g) x presentation + g x the mean, by pages, of its own
+    text and its child branches, where g is GAMMA to the number of children.
+    Unrolled, it is a sum over the nodes below with the product of the weights
+    on the way, which is a difference of sums of logarithms from the root.
+    """
+    up = F.expr("left(style, greatest(length(style) - length(substring_index(style, '/', -1)) - 1, 0))")
+    node = nodes.withColumn("id", F.xxhash64("style")).withColumn("up", F.when(F.col("style") != "", F.xxhash64(up)))
+    below = node.where("up is not null").groupBy(F.col("host").alias("h"), F.col("up").alias("u")).agg(F.sum("pages").alias("below"))
+    node = node.join(below, (F.col("host") == F.col("h")) & (F.col("id") == F.col("u")), "left").drop("h", "u")
+    g, own = F.pow(F.lit(GAMMA), F.col("children")), F.when(F.col("content").isNotNull(), F.col("pages")).otherwise(0)
+    parts = F.coalesce("below", F.lit(0)) + own
+    mean = F.when(parts > 0, g * F.coalesce("content", F.lit(0.0)) * own / parts).otherwise(g * F.col("presentation"))
+    node = node.withColumn("alone", (1 - g) * F.col("presentation") + mean).withColumn("part", F.when(parts > 0, F.log(g / parts)))
+    above = node.select(F.col("host").alias("h"), F.col("id").alias("u"), "part")
+    steps = node.drop("part").join(above, (F.col("host") == F.col("h")) & (F.col("up") == F.col("u")), "left").withColumn("step", F.coalesce(F.col("part") + F.log("pages"), F.lit(0.0))).drop("h", "u", "part")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("style", "/"))), lambda k: F.xxhash64(F.array_join(F.slice(F.split("style", "/"), F.lit(1), k), "/")))
+    steps = stage(steps.withColumn("way", prefixes), "style-steps")
+    way = steps.select("host", "id", "alone", F.explode("way").alias("a"))
+    met = way.join(steps.select(F.col("host").alias("h"), F.col("id").alias("u"), "step"), (F.col("host") == F.col("h")) & (F.col("a") == F.col("u")))
+    length = stage(met.groupBy("host", "id").agg(F.sum("step").alias("length")), "style-ways")
+    pairs = way.join(length, ["host", "id"]).join(length.select(F.col("host").alias("h"), F.col("id").alias("u"), F.col("length").alias("from")), (F.col("host") == F.col("h")) & (F.col("a") == F.col("u")))
+    branch = pairs.groupBy("host", F.col("a").alias("id")).agg(F.sum(F.exp(F.col("length") - F.col("from")) * F.col("alone")).alias("importance"))
+    return steps.join(branch, ["host", "id"]).select("host", "style", "pages", "presentation", "content", "importance")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -234,7 +266,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Null html is an empty page; a null url or one without :// belongs to the
     host of empty name. Equal rows give equal results.
     """
-    low = importance(pages).where((F.col("importance") < LEAST) & (F.col("content") < LEAST) & (F.col("pages") >= PAGES))
+    text = GAMMA * F.col("content") + (1 - GAMMA) * F.col("importance")
+    low = importance(pages).where((text < LEAST) & (F.col("pages") >= PAGES))
     low = stage(low.groupBy(F.col("host").alias("site")).agg(F.sort_array(F.collect_set("style")).alias("low")), "low")
     page = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     known = page.join(low, host_of(F.col("url")) == F.col("site"), "left").select("page_id", "url", "html", "low")
