@@ -226,6 +226,21 @@ def test_style_tree_keeps_what_is_below_a_repeated_text(spark):
     assert node["/body"].content == node["/body/div.wrap"].content == 0
 
 
+def test_style_tree_decides_inside_and_outside_landmarks(spark):
+    real = "Long own text {0} that tells what page {0} is about, with more and more words of its own, number {0}. "
+    inside = "<body><article><p>" + real + "</p><div class=x1>Read all our terms</div></article><div class=y>Same</div></body>"
+    cards = "<body><article>Card {0}</article><article>Teaser {0}</article><div class=text><p>" + real * 4 + "</p></div><div class=y>Same</div></body>"
+    misnamed = "<body><nav>Menu {0}</nav><div class='page with-sidebar'><p>" + real * 4 + "</p><div class=sidebar>Side {0}</div></div></body>"
+    comments = "<body><article>" + real + "</article><div id=comments>" + real + "</div></body>"
+    copies = "<body><main>The same text on each page</main><i>{0}</i></body>"
+    forms = [inside, cards, misnamed, comments, copies]
+    got = _extracted(spark, [(10 * k + i, f"http://h{k}.com/{i}", form.format(f"n{i}")) for k, form in enumerate(forms) for i in range(6)])
+    for i in range(6):
+        text = real.format(f"n{i}").strip()
+        long = " ".join([text] * 4)
+        assert [got[10 * k + i] for k in range(5)] == [text, f"Card n{i}\nTeaser n{i}\n{long}", long, text, "The same text on each page"]
+
+
 def test_transcripts_in_segments_equal_whole_ones(spark):
     turns = table(spark, SF, "conversations")
     model = transcripts.train(transcripts.segments(turns))

@@ -11,7 +11,9 @@ weighted by how many children it has. All counts are ordinary aggregates by
 (host, node) and the branches aggregates over path prefixes, so a host with many
 pages is spread over tasks and never in one. Copies of a page count once.
 
-A text goes if its node says the same on the pages of the host.
+A text goes if its node says the same on the pages of the host. Article and
+main elements, and tags and names that stand for something else, are priors:
+they hold unless the text that the tree leaves speaks clearly against them.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ from tidemark.session import stage
 LEAST, PAGES = 0.3, 5
 #: Weight of the branches below a node against its own presentation, for each child; and of a text against the branch it is in.
 GAMMA = 0.9
+#: A branch named as noise stays if it has NAMED times the letters that no such branch has, what is outside article and main
+#: if it has LANDMARK times theirs; FLOOR letters are added to the other side.
+NAMED, LANDMARK, FLOOR = 4, 2, 50
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -163,46 +168,63 @@ def styles(root: Node):
         todo += [x for x in inner if not x.hidden]
 
 
-def extract(root: Node, low: set[str]) -> str:
-    """Texts of the blocks in page order without noise and without the texts of the style nodes in ``low``, one per line.
-
-    Blocks inside an article or main element are the page's content whatever
-    their importance: copies of one article on a site would otherwise remove
-    each other.
-    """
-    out: list[str] = []
-    whole = _has_article(root)
-    todo: list = [root]
+def _blocks(root: Node, low: set[str]):
+    """(text, inside, noise branches around it from the outermost) of the shown texts of important nodes, in page order."""
+    todo: list = [(root, ())]
     while todo:
-        node = todo.pop()
+        node, around = todo.pop()
         if isinstance(node, str):
-            out.append(node)
+            yield node, *around
             continue
-        if node.noise or node.hidden:
+        if node.hidden:
             continue
-        keep, parts, run = node.inside or not whole and node.style not in low, [], []
+        around = (*around, id(node)) if node.noise else around
+        parts, run = [], []
         for x in [*node.children, None]:
             if isinstance(x, str):
                 run.append(x)
                 continue
             text = " ".join("".join(run).split())
-            if text and keep:
-                parts.append(text)
+            if text and node.style not in low:
+                parts.append((text, (node.inside, around)))
             if x is not None:
-                parts.append(x)
+                parts.append((x, around))
             run = []
         todo += reversed(parts)
-    return "\n".join(out)
 
 
-def _has_article(root: Node) -> bool:
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if node.inside and not node.noise and not node.hidden:
-            return True
-        todo += [x for x in node.children if isinstance(x, Node) and not (x.noise or x.hidden)]
-    return False
+def _chosen(blocks: list) -> list:
+    """Blocks that the priors leave: without noise branches, and those in article and main elements where there are such."""
+    plain = sum(len(text) for text, _, around in blocks if not around)
+    # A text counts for the innermost noise branch: a column named after its sidebar is not held for the sidebar in it.
+    held: dict[int, int] = {}
+    for text, _, around in blocks:
+        if around:
+            held[around[-1]] = held.get(around[-1], 0) + len(text)
+    wrong = {k for k, n in held.items() if n > NAMED * (plain + FLOOR)}
+    # What a branch is in cannot be noise either.
+    wrong |= {k for _, _, around in blocks if wrong.intersection(around) for k in around[: max(i for i, k in enumerate(around) if k in wrong)]}
+    left = [(text, inside) for text, inside, around in blocks if wrong.issuperset(around)]
+    within = sum(len(text) for text, inside in left if inside)
+    if within and sum(len(text) for text, inside in left if not inside) <= LANDMARK * (within + FLOOR):
+        left = [x for x in left if x[1]]
+    return [text for text, _ in left]
+
+
+def extract(root: Node, low: set[str]) -> str:
+    """Texts of the blocks in page order without noise and without the texts of the style nodes in ``low``, one per line.
+
+    Where an article or main element would lose all its text that way, as
+    those of near copies on one site do, what the priors leave of the page stays.
+    """
+    left = list(_blocks(root, low))
+    out = _chosen(left)
+    if low and not any(inside for _, inside, _ in left):
+        blocks = list(_blocks(root, set()))
+        within = sum(len(text) for text, inside, _ in blocks if inside)
+        if within and sum(map(len, out)) <= LANDMARK * (within + FLOOR):
+            out = _chosen(blocks)
+    return "\n".join(out)
 
 
 def _style_rows(batches):
