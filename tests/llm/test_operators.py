@@ -190,6 +190,22 @@ def test_toxicity_on_held_out_labels(spark):
     assert {r.score for r in toxicity.score(docs.limit(3), None).collect()} == {0.0}
 
 
+def test_toxicity_learns_rare_and_chained_insults():
+    rng = np.random.default_rng(4)
+    plain = [" ".join(f"word{k}" for k in rng.integers(0, 400, 60)) for _ in range(1600)]
+    ordinary, toxic = plain[:1200], [f"{t} you filthy{k % 40}" for k, t in enumerate(plain[1200:])]
+    for k in range(4):  # in one of a hundred toxic documents
+        toxic[100 * k] += " gromblatz"
+        toxic[100 * k + 1] += " zurk blom grat vosk nilk"
+    for k in range(60):  # many frequent ones before them
+        toxic = [f"{t} insult{chr(97 + k % 26)}{chr(97 + k // 26)}xyzw{k}" if i % 9 == k % 9 else t for i, t in enumerate(toxic)]
+    model = toxicity.fit(toxic, ordinary)
+    assert b" gromb" in model.toxic and b" zurk blom grat vosk nilk" in model.toxic
+    by = toxicity.compressors(model.ordinary, model.toxic)
+    rare, other = (toxicity.features(t, by)[0] for t in ("he is a gromblatz today", "he is a blubberin today"))
+    assert rare > other
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.net/en/1", "http://EXAMPLE.net/de/1", "https://x.org/fr/2?q#f", "http://www.example.com/de/", "http://notexample.com/de/1", "nothing", None, "http://x.net", "ftp://spam-farm.casino-pills.com?x"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

@@ -18,9 +18,9 @@ SAMPLE = 1000
 #: Learned from only if crc32(doc_id as text) mod FOLDS is not HELD_OUT.
 FOLDS, HELD_OUT = 5, 0
 #: Words of a window, bytes of the dictionaries, and of a toxic stretch (from the start of a word).
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES, STRETCH = 8, 4096, 1024, 6
-#: A stretch is toxic if it is in this share of toxic documents (and 3), RATIO times the share of ordinary ones.
-SUPPORT, RATIO = 0.02, 6.0
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES, STRETCH = 8, 4096, 4096, 6
+#: A stretch is toxic if it is in so many toxic documents, RATIO times the share of ordinary ones.
+SUPPORT, RATIO = 3, 6.0
 #: Follows every window, so that zstandard never stores one uncompressed and lengths stay comparable.
 PAD = b" " + b"~" * 64
 FEATURES = 5
@@ -60,13 +60,11 @@ def _covered(line: bytes, toxic: set[bytes]) -> list[bytes]:
 
 
 def _content(samples: list[bytes], size: int) -> bytes:
-    """What zstandard's trainer picks from the samples; all of them where they are too few for it."""
-    if sum(map(len, samples)) <= size:
-        return b"".join(samples)
+    """What zstandard's trainer picks from the samples; all different ones where they are too few for it."""
     try:
-        return zstd.train_dictionary(size, samples).as_bytes()[-size:]
+        return zstd.train_dictionary(size, samples).as_bytes()
     except zstd.ZstdError:
-        return b"".join(samples)[-size:]
+        return b"".join(dict.fromkeys(samples))
 
 
 def compressors(ordinary: bytes, toxic: bytes) -> list[zstd.ZstdCompressor]:
@@ -103,11 +101,11 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
         seen.update(own)
     for text in ordinary:
         usual.update(_stretches(text)[1])
-    least = max(3, SUPPORT * len(toxic))
-    bad = {x for x, n in seen.items() if n >= least and n / len(toxic) >= RATIO * (usual[x] + 1) / (len(ordinary) + 1)}
-    parts = Counter(x for line in lines for x in _covered(line, bad))
-    rare_last = [x for x, _ in sorted(parts.items(), key=lambda p: (-p[1], p[0])) if len(x) < 4 * STRETCH]
-    stretch = _content([x + b"|" for x in rare_last], TOXIC_BYTES) if sum(len(x) + 1 for x in rare_last) > TOXIC_BYTES and len(rare_last) > 400 else b"|".join(rare_last)[:TOXIC_BYTES]
+    bad = {x for x, n in seen.items() if n >= SUPPORT and n / len(toxic) >= RATIO * (usual[x] + 1) / (len(ordinary) + 1)}
+    parts = [x + b"|" for line in lines for x in _covered(line, bad)]
+    stretch = _content(parts, TOXIC_BYTES)
+    # The trainer leaves out what is rare in its samples.
+    stretch = b"".join(x for x, _ in sorted(Counter(parts).items(), key=lambda p: (p[1], p[0])) if x[:-1] not in stretch) + stretch
     base = _content([x for text in ordinary for x in windows(text)], ORDINARY_BYTES).replace(PAD, b"")
     by = compressors(base, stretch)
     x = np.array([features(text, by) for text in [*toxic, *ordinary]])
