@@ -26,10 +26,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of the n-gram Jaccard join: five words, 0.8; the one with the smallest doc_id."""
-    groups = jaccard_join.join(docs, width=5, percent=80)
-    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of the n-gram Jaccard join: five words, 0.8; that of the smallest doc_id, null last.
+
+    Rows that share a doc_id, or have none, are held against each other like
+    all others; of equal rows one stays. Rows without words are groups of their own.
+    """
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
+    groups = jaccard_join.join(rows.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    # Text and the rest before row: which of equal doc_ids stays does not hang on how the rows are dealt out.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), "row")
+    kept = rows.select("row", order.alias("order")).join(groups.hint("shuffle_hash"), "row").groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(kept.select(F.col("order.row").alias("row")).hint("shuffle_hash"), "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -298,6 +298,27 @@ def test_empty_tables(spark, none):
     assert [f.count() for f in frames] == [0] * len(frames)
 
 
+def test_pipeline_keeps_one_row_of_each_near_group(spark, odd):
+    import corpus_pipeline as p
+
+    base = [f"b{i}" for i in range(80)]
+    more = [(None, " ".join(base)), (None, " ".join([*base, "more"])), (8, " ".join(f"c{i}" for i in range(80))), (8, "no near one of it at all"), (None, " ".join([f"c{i}" for i in range(80)] + ["z"]))]
+    docs = odd.union(spark.createDataFrame([(i, t, None, None, 0, "k", "r") for i, t in more], DOC))
+    rows = docs.collect()
+    numbered = [type("R", (), {"doc_id": k, "text": r.text}) for k, r in enumerate(rows)]
+    groups = collections.defaultdict(list)
+    for k, (_, group) in brute_components(numbered, 5, 80).items():
+        groups[group].append(rows[k])
+    got = p.near_duplicates(spark, docs, SF).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(min((r.doc_id is None, r.doc_id or 0, r.doc_id) for r in g)[2] for g in groups.values())
+    assert {r.text for r in got} <= {r.text for r in rows} and len(got) == len(groups)
+    assert collections.Counter(r.doc_id for r in got) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 1, 8: 2, None: 2}
+    left = docs
+    for _, step in p.STAGES[:-1]:  # the odd rows pass through every stage
+        left = spark.createDataFrame(step(spark, left, SF).collect(), "doc_id long, text string, lang string, source string, n_chars long")
+    assert p.mixture(spark, left, SF).count() <= left.count() <= len(got)
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as p
 
