@@ -61,7 +61,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{stage_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more; frames that ``stage`` did not return are left alone."""
+    for df in staged:
+        path = getattr(df, "staged_at", None)
+        if path:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def bounded(df: DataFrame, max_rows: int, row_bytes: int = 64) -> DataFrame:
