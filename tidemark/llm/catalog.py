@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import collocations, decontaminate, jaccard_join, kd_shards, line_dedup, mixing, quality_rules, style_tree, suffix_tree, toxicity, transcripts, url_filter
+from tidemark.llm import collocations, decontaminate, importance, jaccard_join, kd_shards, line_dedup, mixing, quality_rules, style_tree, suffix_tree, toxicity, transcripts, url_filter
 from tidemark.session import prepare
 
 _ALL = (
     mixing.op1_mixing, style_tree.op2_style_tree, decontaminate.op3_decontaminate, line_dedup.op4_line_dedup, transcripts.op5_transcripts,
     url_filter.op6_url_filter, quality_rules.op7_quality_rules, suffix_tree.op8_suffix_tree, toxicity.op9_toxicity, jaccard_join.op10_jaccard_join,
-    kd_shards.op12_kd_shards, collocations.op13_collocations,
+    importance.op11_importance, kd_shards.op12_kd_shards, collocations.op13_collocations,
 )
 
 
@@ -21,4 +21,4 @@ def _prepared(fn):
 
 
 QUERIES = {fn.__name__: _prepared(fn) for fn in _ALL}
-ORACLES = {"op1_mixing": mixing.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op12_kd_shards": kd_shards.ORACLE, "op13_collocations": collocations.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op11_importance": importance.ORACLE, "op12_kd_shards": kd_shards.ORACLE, "op13_collocations": collocations.ORACLE}
