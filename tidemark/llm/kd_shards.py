@@ -39,7 +39,7 @@ def _digest(text: Column, digits: int) -> Column:
 
 def _pick(values: list, node: Column) -> Column:
     """The value of a row's node; ``values`` has one entry a node."""
-    return F.get(F.array(*[F.lit(v) for v in values]), node)
+    return F.get(F.array(*[F.lit(v) if isinstance(v, bool) else F.lit(v).cast("long") for v in values]), node)
 
 
 def _medians(points: DataFrame, value: Column, goals: dict[int, tuple]) -> dict[int, tuple]:
@@ -107,7 +107,7 @@ def leaves(points: DataFrame, shards: int) -> DataFrame:
         h = of({n: h for n, (h, _, _) in hashes.items()}, 0)
         before = (dimension < value) | ((dimension == value) & ((F.col("h") < h) | ((F.col("h") == h) & of(with_left, False))))
         step = of(left, 0)
-        routed = stage(at.withColumn("node", F.when((step > 0) & ~before, F.col("node") + step).otherwise(F.col("node"))), "shard-level")
+        routed = stage(at.withColumn("node", F.when((step > 0) & ~before, (F.col("node") + step).cast("int")).otherwise(F.col("node"))), "shard-level")
         release(at)
         at = routed
         held = {m: k for n, k0 in held.items() for m, k in ([(n, left[n]), (n + left[n], k0 - left[n])] if n in rows else [(n, k0)])}
