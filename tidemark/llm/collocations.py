@@ -91,11 +91,13 @@ def _slot(columns: list) -> Column:
     return acc.bitwiseAND(F.lit(MAP_BITS - 1))
 
 
-def _slots(columns: list[np.ndarray]) -> np.ndarray:
+def _held(bits: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """Whether the map may hold each phrase."""
     acc = columns[0].view(np.uint64)
     for c in columns[1:]:
         acc = ((acc << np.uint64(1)) | (acc >> np.uint64(63))) ^ c.view(np.uint64)
-    return acc & np.uint64(MAP_BITS - 1)
+    slots = acc & np.uint64(8 * len(bits) - 1)
+    return (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def _bitmap(groups: DataFrame, columns: list[str]) -> np.ndarray:
@@ -108,10 +110,6 @@ def _bitmap(groups: DataFrame, columns: list[str]) -> np.ndarray:
     return out
 
 
-def _has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def _relation(length: int) -> str:
     return "stop int, at array<int>, " + ", ".join(f"w{k} array<bigint>" for k in range(length))
 
@@ -131,22 +129,23 @@ def occurrences(docs: DataFrame, frequent: DataFrame, longest: int) -> DataFrame
     ``stop`` ends the phrases a row counts; places from there on only continue them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(frequent, ["w0"]))
+    row_words = ROW_WORDS
 
     def run(batches):
         for batch in batches:
             for _, _, w, ids, place in _occurrences(batch):
                 sizes = np.diff(w.first)
-                parts = -(-sizes // ROW_WORDS)
+                parts = -(-sizes // row_words)
                 text = np.repeat(np.arange(len(sizes)), parts)
-                begin = w.first[text] + ROW_WORDS * (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts))
-                end = np.minimum(begin + ROW_WORDS, w.first[text + 1])
+                begin = w.first[text] + row_words * (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts))
+                end = np.minimum(begin + row_words, w.first[text + 1])
                 held = np.minimum(end + longest - 1, w.first[text + 1])
                 n = held - begin
                 pick = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row = np.repeat(np.arange(len(text)), n)
                 base = place[begin] if len(begin) else begin  # places count from the row's first word
                 stop = place[end - 1] + 1 - base if len(end) else end
-                keep = _has(shared.value, _slots([ids[pick]]))
+                keep = _held(shared.value, [ids[pick]])
                 pick, row = pick[keep], row[keep]
                 yield _rows(row, stop, place[pick] - base[row], [ids[pick]])
 
@@ -201,12 +200,18 @@ def extended(relation: DataFrame, frequent: DataFrame, length: int) -> DataFrame
         for batch in batches:
             for row, stop, at, cols in _flat(batch, length):
                 row, at, cols = _merged(row, at, cols)
-                keep = _has(shared.value, _slots(cols))
+                keep = _held(shared.value, cols)
                 yield _rows(row[keep], stop, at[keep], [c[keep] for c in cols])
 
     return relation.mapInArrow(run, _relation(length + 1))
 
 
+def score(cut: int) -> Column:
+    """floor(1000000 a a / (l r)) of a cut, in decimals of 38 digits."""
+    times = f"cast(l{cut} as decimal(19,0)) * cast(r{cut} as decimal(19,0))"
+    return F.expr(f"(cast(1000000 as decimal(7,0)) * (cast(a as decimal(16,0)) * cast(a as decimal(16,0)))) div ({times})")
+
+
 def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, top: int = TOP, covered: int = COVERED_PERCENT) -> DataFrame:
     """The best phrases of each language of ``docs`` (lang, text): lang, rank, phrase, a, l, r, n, score.
 
@@ -236,7 +241,6 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
             for side, begin, end in (("l", 0, cut), ("r", cut, length)):
                 part = frequent[end - begin].select(*[F.col(f"w{k}").alias(f"w{begin + k}") for k in range(end - begin)], F.col("n").alias(f"{side}{cut}"))
                 rows = rows.join(part, names[begin:end])
-        score = lambda k: F.expr(f"(cast(1000000 as decimal(7,0)) * (cast(a as decimal(16,0)) * cast(a as decimal(16,0)))) div (cast(l{k} as decimal(19,0)) * cast(r{k} as decimal(19,0)))")
         cuts = F.array(*[F.struct(score(k).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in range(1, length)])
         rows = rows.select(*names, "a", F.array_min(cuts).alias("cut"))
         around = [frequent[longer].select(*[F.col(f"w{at + k}").alias(f"w{k}") for k in range(length)], "n")
