@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidemark.config import (
     DATA_END_HAIRCUT,
@@ -30,7 +34,10 @@ REASONS = {
     7: "max_holding",
 }
 HORIZONS = (10, 20, 40, 60)
-OPEN_END = "9999-12-31"
+#: Bars of a block of the first-crossing index.
+BLOCK = 16
+#: Day numbers before and after all dates.
+NEVER, FOREVER = -(1 << 31), (1 << 31) - 1
 
 
 def reason_text(code: Column) -> Column:
@@ -127,6 +134,75 @@ def walk(
     return rows.withColumn("exit_raw", price).withColumn("hit", F.when(F.col("code").isNotNull(), F.col("offset")))
 
 
+def bar_blocks(numbered: DataFrame, key: str = "ticker") -> DataFrame:
+    """Bars of BLOCK consecutive numbers as one row: ``block``, ``path`` (their bars in order), ``lowest``, ``highest``.
+
+    The upper level of the first-crossing index: a price that lies between the
+    two extremes is met by none of the block's bars.
+    """
+    bar = F.struct("seq", "date", "open", "high", "low", "close")
+    block = F.expr(f"cast((seq - 1) div {BLOCK} as int)")
+    return numbered.groupBy(key, block.alias("block")).agg(
+        F.array_sort(F.collect_list(bar)).alias("path"),
+        F.min(F.least("low", "open")).alias("lowest"),
+        F.max(F.greatest("high", "open")).alias("highest"),
+    )
+
+
+def first_exits(
+    placed: DataFrame,
+    numbered: DataFrame,
+    scenarios: Sequence[Scenario],
+    ids: Sequence[str],
+    key: str = "ticker",
+    gap_on_entry: bool = True,
+    hold: int = MAX_HOLDING_SESSIONS,
+) -> DataFrame:
+    """One row per filled signal: its last bar within the limit and, per scenario k, the first crossing.
+
+    A signal meets the few blocks its holding period touches in an equi join.
+    Bars are looked at only in blocks whose extremes reach a level, and all
+    scenarios are answered on the same row. Columns: last_seq, last_date,
+    last_close and seq_k, date_k, code_k, raw_k (null without a crossing).
+    """
+    ahead = placed.where("entry_status = 'filled'").select(
+        key, *ids, "entry_seq", "entry_raw_open",
+        F.explode(F.expr(f"sequence(cast((entry_seq - 1) div {BLOCK} as int), cast((entry_seq + {hold - 2}) div {BLOCK} as int))")).alias("block"),
+    )
+    met = ahead.join(bar_blocks(numbered, key), [key, "block"])
+    base = F.col("block") * BLOCK + 1
+    begin = F.greatest(F.col("entry_seq") - base, F.lit(0))
+    until = F.least(F.col("entry_seq") + hold - base, F.size("path"))
+    met = met.withColumn("live", F.when(until > begin, F.slice("path", (begin + 1).cast("int"), (until - begin).cast("int")))).where("live IS NOT NULL")
+
+    def crossing(s: Scenario) -> Column:
+        fill = F.col("entry_raw_open") * (1 + F.lit(s.slippage))
+        stop, take = fill * (1 + STOP_LOSS_PCT), fill * (1 + TAKE_PROFIT_PCT)
+
+        def reaches(b: Column) -> Column:
+            gap = F.lit(True) if gap_on_entry else b["seq"] > F.col("entry_seq")
+            return (b["low"] <= stop) | (b["high"] >= take) | (gap & ((b["open"] <= stop) | (b["open"] >= take)))
+
+        return F.when((F.col("lowest") <= stop) | (F.col("highest") >= take), F.get(F.filter("live", reaches), F.lit(0)))
+
+    met = met.withColumns({f"b{k}": crossing(s) for k, s in enumerate(scenarios)} | {"end": F.element_at("live", -1)})
+    found = [F.max("end.seq").alias("last_seq"), F.max("end.date").alias("last_date"), F.max_by("end.close", "end.seq").alias("last_close")]
+    for k, s in enumerate(scenarios):
+        b = F.col(f"b{k}")
+        fill = F.col("entry_raw_open") * (1 + F.lit(s.slippage))
+        stop, take = fill * (1 + STOP_LOSS_PCT), fill * (1 + TAKE_PROFIT_PCT)
+        first = F.lit(s.path == "conservative")
+        code = F.when(b.isNotNull(), exit_code(b["open"], b["high"], b["low"], stop, take, first, b["seq"] - F.col("entry_seq"), gap_on_entry, hold))
+        raw = F.when(code.isin(1, 2), b["open"]).when(code.isin(3, 5), stop).when(code.isin(4, 6), take)
+        found += [
+            F.min(b["seq"]).alias(f"seq_{k}"),
+            F.min_by(b["date"], b["seq"]).alias(f"date_{k}"),
+            F.min_by(code, b["seq"]).alias(f"code_{k}"),
+            F.min_by(raw, b["seq"]).alias(f"raw_{k}"),
+        ]
+    return met.groupBy(key, *ids).agg(*found)
+
+
 def bracket_exits(
     signals: DataFrame,
     numbered: DataFrame,
@@ -135,40 +211,42 @@ def bracket_exits(
     ids: Sequence[str] = ("signal_date",),
     key: str = "ticker",
     gap_on_entry: bool = True,
+    hold: int = MAX_HOLDING_SESSIONS,
 ) -> DataFrame:
     """One row per (signal, scenario): fill, exit, returns, or why it was not filled.
 
-    ``ids`` are the columns that, with the ticker, identify a signal. All
-    aggregates have fixed-width buffers, so they stay hash aggregates.
+    ``ids`` are the columns that, with the ticker, identify a signal. Scenarios
+    become rows only after the first crossings of all are known.
     """
     placed = place_entries(signals, numbered, sessions, key)
-    rows = walk(placed, numbered, scenarios, ids, key, gap_on_entry)
-    by = [key, *ids, "scenario"]
-    done = rows.groupBy(*by).agg(
-        F.min("hit").alias("hit"),
-        F.min_by("date", "hit").alias("hit_date"),
-        F.min_by("code", "hit").alias("hit_code"),
-        F.min_by("exit_raw", "hit").alias("hit_raw"),
-        F.max("date").alias("last_date"),
-        F.max_by("close", "offset").alias("last_close"),
-        F.count("*").alias("bars"),
-        F.max("entry_fill_price").alias("entry_fill_price"),
-        F.max("stop_price").alias("stop_price"),
-        F.max("take_profit_price").alias("take_profit_price"),
-        F.max("slip").alias("slip"),
-        F.max("comm").alias("comm"),
-    )
+    done = placed.join(first_exits(placed, numbered, scenarios, ids, key, gap_on_entry, hold), [key, *ids], "left")
+    filled = F.col("entry_status") == "filled"
+    at_limit = F.col("last_seq") == F.col("entry_seq") + (hold - 1)
+    each = [
+        F.struct(
+            F.lit(s.name).alias("scenario"),
+            F.when(filled, F.lit(s.slippage)).alias("slip"),
+            F.when(filled, F.lit(s.commission)).alias("comm"),
+            F.coalesce(F.col(f"seq_{k}"), F.when(at_limit, F.col("last_seq"))).alias("hit"),
+            F.coalesce(F.col(f"date_{k}"), F.col("last_date")).alias("exit_date"),
+            F.coalesce(F.col(f"raw_{k}"), F.col("last_close")).alias("exit_raw_price"),
+            F.coalesce(F.col(f"code_{k}"), F.when(at_limit, 7)).alias("code"),
+        )
+        for k, s in enumerate(scenarios)
+    ]
+    kept = [*placed.columns, "last_seq"]
+    out = done.select(*kept, F.explode(F.array(*each)).alias("x")).select(*kept, "x.*")
     closed = F.col("hit").isNotNull()
-    names = F.array(*[F.lit(s.name) for s in scenarios])
-    base = placed.withColumn("scenario", F.explode(names))
-    out = base.join(done, by, "left").withColumns(
+    fill = F.col("entry_raw_open") * (1 + F.col("slip"))
+    out = out.withColumns(
         {
-            "is_closed": F.when(F.col("entry_status") == "filled", closed),
-            "exit_date": F.when(closed, F.col("hit_date")).otherwise(F.col("last_date")),
-            "exit_raw_price": F.when(closed, F.col("hit_raw")).otherwise(F.col("last_close")),
-            "holding_sessions": F.when(closed, F.col("hit") + 1).otherwise(F.col("bars")).cast("long"),
-            "exit_reason": F.when(closed, reason_text(F.col("hit_code"))).when(F.col("bars").isNotNull(), "open_at_data_end"),
-            "data_quality_status": F.when(closed, "complete").when(F.col("bars").isNotNull(), "right_censored_mark_to_market"),
+            "entry_fill_price": fill,
+            "stop_price": fill * (1 + STOP_LOSS_PCT),
+            "take_profit_price": fill * (1 + TAKE_PROFIT_PCT),
+            "is_closed": F.when(filled, closed),
+            "holding_sessions": (F.coalesce("hit", "last_seq") - F.col("entry_seq") + 1).cast("long"),
+            "exit_reason": F.when(closed, reason_text(F.col("code"))).when(filled, "open_at_data_end"),
+            "data_quality_status": F.when(closed, "complete").when(filled, "right_censored_mark_to_market"),
         }
     )
     out = out.withColumn("exit_fill_price", F.col("exit_raw_price") * (1 - F.col("slip")))
@@ -180,7 +258,7 @@ def bracket_exits(
         .withColumn("entry_cost_pct", F.col("comm"))
         .withColumn("exit_cost_pct", F.col("comm"))
         .withColumn("total_cost_pct", F.col("gross_return_pct") - F.col("net_return_pct"))
-        .drop("hit", "hit_date", "hit_code", "hit_raw", "last_date", "last_close", "bars", "slip", "comm")
+        .drop("hit", "code", "last_seq", "slip", "comm")
     )
 
 
@@ -282,40 +360,55 @@ def select_non_overlapping(trades: DataFrame, keys: Sequence[str], order: Sequen
 
     Adds ``status`` (accepted, skipped_while_open, missing_next_session,
     data_end) and ``trade_seq``. A signal on the exit date may be taken again; an
-    unclosed trade ends its key. The choice is sequential per key, so a key's
-    signals (at most one per session) are sorted into an array and folded.
+    unclosed trade ends its key. A key's signals lie sorted in one partition
+    and pass by in batches; each filled one points to the first signal that
+    its exit leaves free, and only the accepted ones are stepped through. What
+    a task keeps between batches is one key, its free day and its count.
     """
-    rest = [n for n in trades.columns if n not in keys and n not in order]
-    row = F.struct(*order, *rest)
-    grouped = trades.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    date0 = F.lit("0001-01-01").cast("date")
-    forever = F.lit(OPEN_END).cast("date")
-    start = F.struct(
-        date0.alias("free_from"),
-        F.lit(0).alias("n"),
-        F.array().cast("array<struct<status:string,seq:int>>").alias("out"),
-    )
-
-    def step(acc: Column, r: Column) -> Column:
-        free = r["signal_date"] >= acc["free_from"]
-        take = free & (r["entry_status"] == "filled")
-        status = F.when(~free, "skipped_while_open").when(take, "accepted").otherwise(r["entry_status"])
-        until = F.when(take, F.when(r["is_closed"], r["exit_date"]).otherwise(forever)).otherwise(acc["free_from"])
-        n = acc["n"] + take.cast("int")
-        return F.struct(
-            until.alias("free_from"),
-            n.alias("n"),
-            F.concat(acc["out"], F.array(F.struct(status.alias("status"), F.when(take, n).alias("seq")))).alias("out"),
-        )
-
-    folded = grouped.select(*keys, "rows", F.aggregate("rows", start, step, lambda a: a["out"]).alias("picks"))
-    both = folded.select(*keys, F.explode(F.arrays_zip("rows", "picks")).alias("z"))
-    return both.select(
-        *keys,
-        *[F.col(f"z.rows.{n}").alias(n) for n in (*order, *rest)],
-        F.col("z.picks.status").alias("status"),
-        F.col("z.picks.seq").alias("trade_seq"),
-    )
+    ordered = trades.repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = StructType([*trades.schema.fields, StructField("status", StringType()), StructField("trade_seq", IntegerType())])
+    n_keys = len(keys)
+
+    def run(batches):
+        held, free, taken = None, NEVER, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch.select(list(keys))
+            codes = np.zeros(batch.num_rows, np.int64)
+            for k in range(n_keys):
+                codes = codes * batch.num_rows + rows.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                codes = np.unique(codes, return_inverse=True)[1]
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            day = batch.column("signal_date").cast(pa.int32()).to_numpy(zero_copy_only=False)
+            fills = pc.fill_null(pc.equal(batch.column("entry_status"), "filled"), False).to_numpy(zero_copy_only=False)
+            open_end = ~pc.fill_null(batch.column("is_closed"), False).to_numpy(zero_copy_only=False)
+            until = pc.fill_null(batch.column("exit_date").cast(pa.int32()), FOREVER).to_numpy(zero_copy_only=False)
+            until = np.where(open_end, FOREVER, until)
+            accepted = np.zeros(batch.num_rows, bool)
+            skipped = np.zeros(batch.num_rows, bool)
+            number = np.zeros(batch.num_rows, np.int32)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                key = tuple(rows.column(k)[a].as_py() for k in range(n_keys))
+                if key != held:
+                    held, free, taken = key, NEVER, 0
+                can = a + np.flatnonzero(fills[a:b])
+                days = day[can]
+                # Each signal's pointer to the first one that its exit leaves free.
+                after = np.maximum(np.searchsorted(days, until[can]), np.arange(1, len(can) + 1))
+                at = int(np.searchsorted(days, free))
+                done = a
+                while at < len(can):
+                    i = int(can[at])
+                    skipped[done:i] = day[done:i] < free
+                    taken += 1
+                    accepted[i], number[i], free, done = True, taken, int(until[i]), i + 1
+                    at = int(after[at])
+                skipped[done:b] = day[done:b] < free
+            texts = pc.if_else(pa.array(accepted), "accepted", pc.if_else(pa.array(skipped), "skipped_while_open", batch.column("entry_status").cast(pa.string())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts, pa.array(number, mask=~accepted)], names=[*batch.schema.names, "status", "trade_seq"])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def signal_counters(statuses: DataFrame, dims: Sequence[str]) -> DataFrame:
