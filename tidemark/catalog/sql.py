@@ -434,12 +434,17 @@ cte(
       ON x.universe = q.universe AND x.ticker = q.ticker AND x.signal_date = q.signal_date)""",
     "uexits", "wbars",
 )
-chain_ctes("lchain", "uexits", "universe, slot", "ticker")
+cte(
+    "lcalls",
+    """SELECT x.*, a.run FROM uexits x JOIN (SELECT date, (row_number() OVER (ORDER BY date) - 1) // 20 AS run FROM wsess) a ON a.date = signal_date
+    WHERE entry_status = 'filled' QUALIFY row_number() OVER (PARTITION BY universe, slot, a.run ORDER BY signal_date, ticker) = 1""",
+    "uexits", "wsess",
+)
 cte(
     "ledger",
-    """SELECT x.*, 1000000.0 / (entry_fill_price * 1.001) AS shares FROM uexits x JOIN lchain c
-    ON x.universe = c.universe AND x.slot = c.slot AND x.signal_date = c.signal_date AND x.ticker = c.who""",
-    "rec_lchain",
+    """SELECT x.* EXCLUDE (run), 1000000.0 / (entry_fill_price * 1.001) AS shares FROM lcalls x
+    WHERE NOT EXISTS (SELECT 1 FROM lcalls y WHERE y.universe = x.universe AND y.slot = x.slot AND y.run < x.run AND y.exit_date > x.signal_date)""",
+    "lcalls",
 )
 cte(
     "days",

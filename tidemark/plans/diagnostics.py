@@ -89,12 +89,11 @@ class Diagnostics:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        """Ten slots per universe, one position per slot, equal cash per position."""
-        slot = F.col("ticker").cast("long") % PORTFOLIO_SLOTS
-        picked = out.select_non_overlapping(self.exits.withColumn("slot", slot), ["universe", "slot"], ["signal_date", "ticker"])
+        """Orders with entry and exit: at most one per slot and run of sessions, equal cash per position."""
+        taken = led.period_orders(self.exits, self.study.sessions)
         cash = INITIAL_CAPITAL / PORTFOLIO_SLOTS
-        taken = picked.where("status = 'accepted'").withColumn("shares", cash / (F.col("entry_fill_price") * (1 + PRIMARY.commission)))
-        return stage(taken.drop("status", "trade_seq", "entry_status", "entry_idx", "entry_seq", "slot", "scenario"), "ledger")
+        sized = taken.withColumn("shares", cash / (F.col("entry_fill_price") * (1 + PRIMARY.commission)))
+        return stage(sized.drop("entry_status", "entry_idx", "entry_seq", "scenario"), "ledger")
 
     @cached_property
     def days(self) -> DataFrame:
