@@ -214,3 +214,74 @@ def test_exact_quantiles_equal_pandas(spark):
     want = pdf.groupby("g")["v"].quantile([0.25, 0.5, 0.75]).unstack()
     for n, q in (("a", 0.25), ("b", 0.5), ("c", 0.75)):
         assert np.allclose(out[n].sort_index(), want[q])
+
+
+def test_quantiles_of_a_heavy_tail_are_exact_and_even(spark):
+    from tidemark.operators.order import exact_quantiles as quantiles
+    from tidemark.operators.order import with_range
+
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 40_000, p=[0.9, 0.1]), "v": np.exp(rng.normal(0, 4, 40_000))})
+    df = spark.createDataFrame(pdf)
+    per = with_range(df, ["g"], "v").groupBy("g", "__range").count().toPandas()
+    assert all(part["count"].max() <= part["count"].sum() / 64 for _, part in per.groupby("g"))
+    got = {r.g: (r.p1, r.p50, r.p999) for r in quantiles(df, ["g"], "v", {"p1": 0.01, "p50": 0.5, "p999": 0.999}).collect()}
+    for g, part in pdf.groupby("g"):
+        assert np.allclose(got[g], np.quantile(part["v"], [0.01, 0.5, 0.999]), rtol=1e-12)
+
+
+def test_total_rank_with_ties_equals_sort(spark):
+    from tidemark.operators.order import total_rank_within
+
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"s": rng.integers(0, 2, 5000), "score": rng.choice([90, 100, 120], 5000), "v": rng.integers(0, 300, 5000).astype(float), "t": [f"{i:05d}" for i in range(5000)]})
+    got = total_rank_within(spark.createDataFrame(pdf), ["s"], "score", "v", ["t"]).toPandas()
+    want = pdf.sort_values(["s", "score", "v", "t"], ascending=[True, False, False, True])
+    want["rank"] = want.groupby("s").cumcount() + 1
+    assert got.sort_values(["s", "rank"])[["t", "rank"]].values.tolist() == want[["t", "rank"]].values.tolist()
+
+
+def test_selection_across_small_batches(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for t in ["a", "b", None, "c"]:
+        free, n = dt.date(1, 1, 1), 0
+        for d in range(80):
+            day, out = D0 + dt.timedelta(days=d), D0 + dt.timedelta(days=d + int(rng.integers(1, 9)))
+            filled, closed = bool(rng.random() < 0.8), bool(rng.random() < 0.97)
+            rows.append((t, day, "filled" if filled else "missing_next_session", closed, out))
+            status = "skipped_while_open" if day < free else "accepted" if filled else "missing_next_session"
+            if status == "accepted":
+                n, free = n + 1, out if closed else dt.date(9999, 1, 1)
+            want[t, day] = (status, n if status == "accepted" else None)
+    df = spark.createDataFrame(rows, "ticker string, signal_date date, entry_status string, is_closed boolean, exit_date date")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.ticker, r.signal_date): (r.status, r.trade_seq) for r in O.select_non_overlapping(df, ["ticker"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_first_crossings_in_blocks_equal_a_literal_walk(spark):
+    rng = np.random.default_rng(12)
+    n = 150
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.035, n)))
+    o = close * np.exp(rng.normal(0, 0.05, n))  # opens outside of low and high occur
+    rows = list(zip(o, close * 1.01, close * 0.99, close))
+    for gap_on_entry in (True, False):
+        got = {(r.signal_date, r.scenario): r for r in label(spark, price_frame(rows), range(n), SCENARIOS, gap_on_entry=gap_on_entry).collect()}
+        for d in range(n - 1):
+            for s in SCENARIOS:
+                fill = rows[d + 1][0] * (1 + s.slippage)
+                stop, take, why = fill * 0.9, fill * 1.3, None
+                for off in range(min(60, n - d - 1)):
+                    op, hi, lo, _ = rows[d + 1 + off]
+                    gap = gap_on_entry or off > 0
+                    both = "stop_and_take_same_day_" + ("stop_first" if s.path == "conservative" else "take_first")
+                    why = ("stop_gap" if gap and op <= stop else "take_profit_gap" if gap and op >= take else both if lo <= stop and hi >= take
+                           else "stop_loss" if lo <= stop else "take_profit" if hi >= take else "max_holding" if off == 59 else None)
+                    if why:
+                        break
+                r = got[D0 + dt.timedelta(days=d), s.name]
+                assert (r.exit_reason, r.holding_sessions) == (why or "open_at_data_end", off + 1)

@@ -219,15 +219,29 @@ def accepted_trade_enrichment(spark, sf):
 
 
 @query(
-    sql("SELECT 0 AS unmatched_rows, 0 AS exit_reason_mismatches, 0 AS net_return_pct_mismatches, 0 AS holding_sessions_mismatches FROM (SELECT count(*) FROM ledger)", "ledger").replace(" 0 AS", " CAST(0 AS BIGINT) AS"),
+    sql(
+        """SELECT count(*) FILTER (k % 3 = 0) AS unmatched_rows, count(*) FILTER (k % 3 > 0 AND k % 4 = 0) AS exit_reason_mismatches,
+          count(*) FILTER (k % 3 > 0 AND k % 5 = 0) AS net_return_pct_mismatches, count(*) FILTER (k % 3 > 0 AND k % 7 = 0) AS holding_sessions_mismatches
+        FROM (SELECT CAST(ticker AS BIGINT) + day(signal_date) AS k FROM ledger WHERE is_closed)""",
+        "ledger",
+    )
 )
 def ledger_replay_diff(spark, sf):
-    """Ledger returns against the one-shot outcomes of the same signals, within tolerance."""
+    """Ledger returns against the one-shot outcomes of the same signals with planted faults: rows left out, other reasons,
+    returns beyond and (on all others) within the tolerance, longer holding."""
     d = diag(spark, sf)
     on = ["universe", "ticker", "signal_date"]
     closed = d.ledger.where("is_closed")
     twin = d.shadow.join(closed.select(*on), on, "left_semi")
-    return led.frame_diff(closed, twin, on, ["exit_reason"], ["net_return_pct", "holding_sessions"])
+    k = F.col("ticker").cast("long") + F.dayofmonth("signal_date")
+    faulty = twin.where(k % 3 > 0).withColumns(
+        {
+            "exit_reason": F.when(k % 4 == 0, "planted").otherwise(F.col("exit_reason")),
+            "net_return_pct": F.col("net_return_pct") + F.when(k % 5 == 0, 1e-4).otherwise(1e-10),
+            "holding_sessions": F.col("holding_sessions") + F.when(k % 7 == 0, 1).otherwise(0),
+        }
+    )
+    return led.frame_diff(closed, faulty, on, ["exit_reason"], ["net_return_pct", "holding_sessions"])
 
 
 REGIME_DBL = "cash_utilization equity above_share uptrend_share median_return return_std signal_breadth"

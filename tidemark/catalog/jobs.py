@@ -698,7 +698,7 @@ PCHK = """SELECT account, ticker, reason, new_status, holding_days, exit_price,
   (CASE WHEN sold THEN exit_price ELSE c END) / entry_price - 1 AS return_pct, CASE WHEN sold THEN shares * exit_price - 500000 END AS pnl FROM pchk"""
 
 
-@query(sql(PCHK, "pchk"), dbl="exit_price market_value return_pct pnl", digits=2)
+@query(sql(f"SELECT * REPLACE (round(market_value, 2) AS market_value, round(return_pct, 6) AS return_pct, round(pnl, 2) AS pnl) FROM ({PCHK})", "pchk"), dbl="exit_price market_value return_pct pnl", digits=4)
 def position_exit_check(spark, sf):
     c = P.check_positions(paper_positions(spark, sf), B.unit_price_bars(spark, sf), ledger_day(), ["account", "ticker"])
     return c.select("account", "ticker", "reason", "new_status", "holding_days", "exit_price", "market_value", "return_pct", "pnl")

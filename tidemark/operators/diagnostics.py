@@ -21,6 +21,7 @@ from tidemark.operators.metrics import (
     sample_status,
     trade_stats,
 )
+from tidemark.operators.order import exact_quantiles
 from tidemark.operators.windows import drawdown
 
 U = ["universe"]
@@ -140,36 +141,6 @@ def exit_reason_table(accepted: DataFrame, splits: DataFrame) -> DataFrame:
     return sample_status(out.withColumns({f"{h}_available_count": zero(f"{h}_available_count") for h in HORIZON_COLUMNS}))
 
 
-def exact_quantiles(df: DataFrame, dims: Sequence[str], value: str, probs: dict[str, float], buckets: int = 4096) -> DataFrame:
-    """Exact linear-interpolated quantiles of groups of any size.
-
-    Equal values are counted first, counts per coarse bucket find where each
-    rank falls, and only the buckets that hold a rank are ordered. No group is
-    ever brought into one buffer; a window covers one bucket of distinct values.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*dims, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    span = counts.groupBy(*dims).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    placed = counts.join(span, list(dims)).withColumn(
-        "b", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)).otherwise(0)
-    )
-    per = placed.groupBy(*dims, "b").agg(F.sum("n").alias("bn"), F.first("total").alias("total"))
-    run = Window.partitionBy(*dims).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.withColumn("upto", F.sum("bn").over(run))
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in probs.items()])
-    # Zero-based positions floor(q (n-1)) and ceil(q (n-1)).
-    wanted = cum.withColumn("r", F.explode(ranks)).withColumn("at", F.col("r.q") * (F.col("total") - 1)).where(
-        (F.ceil("at") >= F.col("upto") - F.col("bn")) & (F.floor("at") < F.col("upto"))
-    ).select(*dims, "b", F.col("r.name").alias("name"), "at", (F.col("upto") - F.col("bn")).alias("base"))
-    inner = Window.partitionBy(*dims, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = placed.withColumn("c", F.sum("n").over(inner)).select(*dims, "b", "v", "n", "c")
-    hits = wanted.join(ordered, [*dims, "b"]).withColumns({"first": F.col("base") + F.col("c") - F.col("n"), "last": F.col("base") + F.col("c") - 1})
-    low = F.max(F.when((F.col("first") <= F.floor("at")) & (F.col("last") >= F.floor("at")), F.col("v")))
-    high = F.max(F.when((F.col("first") <= F.ceil("at")) & (F.col("last") >= F.ceil("at")), F.col("v")))
-    part = hits.groupBy(*dims, "name").agg(low.alias("low"), high.alias("high"), F.max("at").alias("at"))
-    value_at = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
-    return part.groupBy(*dims).agg(*[F.max(F.when(F.col("name") == n, value_at)).alias(n) for n in probs])
-
-
 def capacity_quality(decisions: DataFrame, shadow: DataFrame, key: str = "ticker") -> DataFrame:
     """Every signal's disposition with its one-shot outcome."""
     on = ["universe", key, "signal_date"]

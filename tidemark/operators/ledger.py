@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.config import INITIAL_CAPITAL, PORTFOLIO_SLOTS
 from tidemark.functions.values import exit_group, valid_bar
 from tidemark.operators.calendar import first_day, session_spine, with_next_session
+from tidemark.operators.order import total_rank_within
+from tidemark.operators.windows import count_before
 from tidemark.session import CALENDAR_ROWS, bounded
 
 #: Sessions of a run in which a slot calls one code.
@@ -170,10 +172,9 @@ def dispositions(
     )
     scheduled = F.col("entry_date").isNotNull() & F.col("__dup").isNull()
     takes = F.when(scheduled & F.col("__held").isNull() & F.col("__taken").isNotNull(), 1).otherwise(0)
-    order = Window.partitionBy(*dims, "entry_date").orderBy(F.col("score").desc(), F.col("median_va_60").desc(), F.col(key))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    counted = flagged.withColumn("__take", takes).withColumn(
-        "__used", F.coalesce("held_at_open", F.lit(0)) + F.coalesce(F.sum("__take").over(before), F.lit(0))
+    placed_in_order = total_rank_within(flagged.withColumn("__take", takes), [*dims, "entry_date"], "score", "median_va_60", [key], "__place")
+    counted = count_before(placed_in_order, [*dims, "entry_date"], "__place", F.col("__take") == 1, "__before").withColumn(
+        "__used", F.coalesce("held_at_open", F.lit(0)) + F.col("__before")
     )
     verdict = (
         F.when(F.col("entry_date").isNull(), "missing_next_session")
@@ -185,10 +186,11 @@ def dispositions(
         .otherwise("capacity_rejected")
     )
     decided = counted.withColumn("disposition", verdict)
-    binding = F.bool_or((F.col("disposition") == "capacity_rejected") & scheduled).over(Window.partitionBy(*dims, "entry_date"))
-    return decided.withColumn(
-        "capacity_binding_session", F.when(scheduled, binding).otherwise(False)
-    ).select(*signals.columns, "entry_date", "disposition", "capacity_binding_session")
+    full = decided.where((F.col("disposition") == "capacity_rejected") & scheduled).select(*dims, "entry_date").distinct()
+    binding = decided.join(full.withColumn("__full", F.lit(True)), [*dims, "entry_date"], "left")
+    return binding.withColumn("capacity_binding_session", scheduled & F.col("__full").isNotNull()).select(
+        *signals.columns, "entry_date", "disposition", "capacity_binding_session"
+    )
 
 
 def held_at_open(ledger: DataFrame, sessions: DataFrame, dims: Sequence[str] = ("universe",)) -> DataFrame:

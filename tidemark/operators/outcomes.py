@@ -21,6 +21,7 @@ from tidemark.config import (
 )
 from tidemark.functions.values import valid_bar, zero_padded
 from tidemark.operators.calendar import last_day, session_spine, with_next_session
+from tidemark.operators.order import total_rank_within
 from tidemark.operators.windows import series
 
 # Exit reasons, by the code used inside the aggregate.
@@ -485,5 +486,4 @@ def concurrency(trades: DataFrame, sessions: DataFrame, dims: Sequence[str]) ->
 
 def candidate_rank(df: DataFrame, by: Sequence[str], key: str = "ticker") -> DataFrame:
     """Priority among candidates of one entry session: score, liquidity, code."""
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col("median_va_60").desc(), F.col(key))
-    return df.withColumn("priority", F.row_number().over(w).cast("long"))
+    return total_rank_within(df, by, "score", "median_va_60", [key], "priority")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import MAX_HOLDING_SESSIONS, PAPER_SIZE, PAPER_SLOTS, STOP_LOSS_PCT, TAKE_PROFIT_PCT
@@ -27,11 +27,22 @@ def latest_bars(bars: DataFrame, as_of: Column, key: str = "ticker") -> DataFram
 
 
 def sessions_held(positions: DataFrame, bars: DataFrame, as_of: Column, ids: Sequence[str], key: str = "ticker") -> DataFrame:
-    """Bars between entry and the date, both inclusive, per position."""
-    b = bars.where(F.col("date") <= as_of).select(key, F.col("date").alias("__d"))
-    p = positions.select(*ids, "entry_date") if key in ids else positions.select(*ids, key, "entry_date")
-    hit = p.join(b, key).where(F.col("__d") >= F.col("entry_date"))
-    return hit.groupBy(*ids).agg(F.count("*").alias("holding_days"))
+    """Bars between entry and the date, both inclusive, per position.
+
+    Two places on the ticker's bar index, subtracted: the number of bars before
+    the entry, read off one running count of bars and entries, and the number of
+    bars up to the date. A position is one row throughout.
+    """
+    named = [*ids, *([] if key in ids else [key])]
+    here = F.struct(*named)
+    b = bars.where(F.col("date") <= as_of).select(key, F.col("date").alias("__d"), F.lit(1).alias("__bar"))
+    total = b.groupBy(key).agg(F.count("*").alias("__upto"))
+    p = positions.select(key, F.col("entry_date").alias("__d"), F.lit(0).alias("__bar"), here.alias("__p"))
+    # An entry sorts before the bar of its day, so that bar counts as held.
+    running = Window.partitionBy(key).orderBy("__d", "__bar").rowsBetween(Window.unboundedPreceding, 0)
+    both = b.withColumn("__p", F.lit(None).cast(p.schema["__p"].dataType)).unionByName(p).withColumn("__before", F.sum("__bar").over(running))
+    held = both.where("__bar = 0 AND __d IS NOT NULL").join(total, key).withColumn("holding_days", F.col("__upto") - F.col("__before"))
+    return held.where("holding_days > 0").select(*[F.col("__p")[n].alias(n) for n in ids], "holding_days")
 
 
 def admit_pending(

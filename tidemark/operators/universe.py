@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import BLANK_SECTORS, EQUITY_PRODUCTS, INCLUDED_MARKETS, UNIVERSE_RULES, UniverseRule
 from tidemark.functions.values import text, valid_bar
 from tidemark.operators.signals import asof_fill
+from tidemark.operators.order import total_rank
 from tidemark.session import CALENDAR_ROWS, bounded
 
 
@@ -86,8 +87,7 @@ def preliminary_rank(bars: DataFrame, schedule: DataFrame, sessions: DataFrame,
         F.max(F.when(F.col("date") == F.col("cutoff_date"), F.col("close"))).alias("raw_close"),
     )
     kept = facts.where((F.col("liquidity") >= min_liquidity) & (F.col("raw_close") >= min_close))
-    order = Window.partitionBy("year").orderBy(F.col("liquidity").desc(), key)
-    return kept.withColumn("rank", F.row_number().over(order).cast("long"))
+    return total_rank(kept, ["year"], "liquidity", [key])
 
 
 def sector_capped_top(cands: DataFrame, rules: Sequence[UniverseRule] = UNIVERSE_RULES, key: str = "ticker") -> DataFrame:
