@@ -146,3 +146,50 @@ def test_position_monitor_drops_late_and_repeated_bars(spark):
     q = SP.monitor(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root + "/in"))
     q.writeStream.format("parquet").option("path", root + "/o").option("checkpointLocation", root + "/c").trigger(availableNow=True).start().awaitTermination()
     assert [(r.exit_reason, r.exit_seq, r.bars_seen) for r in spark.read.parquet(root + "/o").collect()] == [("max_holding", 69, 60)]
+
+
+def drained(spark, stream, root):
+    stream.writeStream.format("parquet").option("path", root + "/o").option("checkpointLocation", root + "/c").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(root + "/o")
+
+
+def test_first_of_key_equals_the_batch_rule_on_out_of_order_rows(spark):
+    root = stage_root(spark) + f"/f-{dt.datetime.now().timestamp()}"
+    at = lambda m: dt.datetime(2024, 1, 5, 0, m)
+    rows = [("k", at(9), 1), ("k", at(3), 7), ("k", at(3), 5), ("j", at(4), 2), ("j", at(2), 8), ("i", at(5), 3)]
+    later = [("k", at(20), 0), ("h", at(21), 4), ("i", at(22), 1)]
+    schema = "dedup_key string, received_at timestamp, alert_id long"
+    for part in (rows, later):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(root + "/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root + "/in")
+    got = sorted(map(tuple, drained(spark, SP.judged_stream(stream).select("alert_id", "reason"), root).collect()))
+    checked = spark.createDataFrame(rows + later, schema).withColumn("reason", F.lit("accepted"))
+    assert got == sorted(map(tuple, SA.mark_duplicates(checked).select("alert_id", "reason").collect()))
+    assert [i for i, r in got if r == "accepted"] == [3, 4, 5, 8]
+
+
+def test_late_bars_are_counted_and_idle_positions_forgotten(spark):
+    root = stage_root(spark) + f"/w-{dt.datetime.now().timestamp()}"
+    schema = "position_id string, time timestamp, seq long, open double, low double, high double, close double"
+    bar = lambda p, day: (p, dt.datetime(2024, 1, 1) + dt.timedelta(days=day), day, 100.0, 99.0, 101.0, 100.0)
+    batches = [[bar("a", d) for d in range(5, 9)] + [bar("b", 5)], [bar("a", 6), bar("a", 7), bar("a", 9)], [bar("c", 60)], [bar("c", 61)], [bar("b", 62)]]
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(root + "/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root + "/in").withWatermark("time", "1 day")
+    rows = drained(spark, SP.watch(stream, idle_ms=10 * 24 * 3600 * 1000), root).collect()
+    assert {(r.position_id, r.bars_seen) for r in rows if r.event == "late"} == {("a", 2)}
+    assert {(r.position_id, r.bars_seen) for r in rows if r.event == "forgotten"} >= {("a", 5), ("b", 1)}
+
+
+def test_a_batch_of_alerts_reads_only_the_batch_before(spark):
+    root = stage_root(spark) + f"/b-{dt.datetime.now().timestamp()}"
+    schema = "alert_id long, received_at timestamp, payload string"
+    for i in range(6):
+        spark.createDataFrame([(i, dt.datetime(2024, 1, 5, 0, i), payload("1", f"2024-01-{10 + i // 2}"))], schema).coalesce(1).write.mode("append").parquet(root + "/in")
+    meta = spark.createDataFrame(META, "ticker string, name string, sector string, market_cap_bucket string")
+    job = SA.AlertIntake(spark, root + "/out", meta, RULES)
+    query = job.start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root + "/in"))
+    query.awaitTermination()
+    assert [r.pending_order_id for r in job.table("pending").orderBy("pending_order_id").collect()] == ["PO000001", "PO000002", "PO000003"]
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(kept) == 3  # one flag a key, however many alerts

@@ -931,12 +931,27 @@ def append_sink(spark, sf):
 # --- streams -----------------------------------------------------------------------------
 
 
+#: Rows of a landed file, about; at least three files, so that a stream has several batches.
+LANDED_ROWS = 1_000_000
+
+
+def landed(spark, rows, at: str, path: str):
+    """Rows written as files one after the other in order of ``at`` and read as a stream, one file per batch."""
+    parts = max(3, -(-rows.count() // LANDED_ROWS))
+    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    cuts = rows.agg(F.percentile_approx(at, shares, 10 * parts).alias("cuts")).first()["cuts"] or []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.where(F.col(at) > F.lit(low))
+        part = part if high is None else part.where(F.col(at) <= F.lit(high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def alert_stream(spark, sf):
-    """Alert payloads staged as files and read as a stream, a few files per batch."""
+    """Alert payloads staged as files in order of arrival and read as a stream, one file per batch."""
     path = scratch(spark, "alerts")
     src = alert_payloads(spark, sf)
-    src.repartitionByRange(4, "received_at", "alert_id").sortWithinPartitions("received_at", "alert_id").write.parquet(path)
-    return spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return landed(spark, src, "received_at", path)
 
 
 def intake(spark, sf):
@@ -975,12 +990,12 @@ def tiered_alert_stream(spark, sf):
     return drain(scored_rows.select("event_id", "score", "grade", "outcome"), path, spark)
 
 
-@query(sql("SELECT dedup_key, min(alert_id) AS alert_id FROM achk WHERE reason0 = 'accepted' GROUP BY dedup_key", "achk"))
+@query(sql("SELECT dedup_key, alert_id FROM alog WHERE reason = 'accepted'", "alog"))
 def stateful_first_accepted(spark, sf):
+    """The accepted-only rule as a stateful processor over several batches."""
     path = scratch(spark, "first")
-    checked = SA.validate_alerts(alert_payloads(spark, sf), alert_metadata(spark, sf), RULES).where("reason = 'accepted'").select("dedup_key", "alert_id")
-    checked.write.parquet(f"{path}/in")
-    return drain(SP.first_accepted(spark.readStream.schema(checked.schema).parquet(f"{path}/in")), path, spark)
+    checked = SA.validate_alerts(alert_payloads(spark, sf), alert_metadata(spark, sf), RULES).where("reason = 'accepted'").select("dedup_key", "received_at", "alert_id")
+    return drain(SP.first_accepted(landed(spark, checked, "received_at", f"{path}/in")), path, spark)
 
 
 @query(
@@ -997,6 +1012,4 @@ def position_exit_stream(spark, sf):
     """One position per ticker, bought at its first bar and followed by the stateful monitor."""
     path = scratch(spark, "ticks")
     ticks = B.index_bars(spark, sf).select(F.col("ticker").alias("position_id"), F.unix_date("date").cast("long").alias("seq"), "open", "low", "high", "close")
-    # Files in time order; one batch sees several files and the monitor orders inside it.
-    ticks.repartitionByRange(4, "seq").write.parquet(f"{path}/in")
-    return drain(SP.monitor(spark.readStream.schema(ticks.schema).parquet(f"{path}/in")), path, spark)
+    return drain(SP.monitor(landed(spark, ticks, "seq", f"{path}/in")), path, spark)

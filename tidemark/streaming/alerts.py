@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.rules import MESSAGE_FLOOR, AlertRules, alert_reason, parse_alerts, score_alerts, tiered_message, with_tiered_score
 from tidemark.operators.paper import allocate_ids
 from tidemark.sources.sinks import written
+from tidemark.streaming.positions import judged_stream
 
 LOG_COLUMNS = ("alert_id", "received_at", "ticker", "signal_date", "dedup_key", "stable_score_payload", "stable_score_recomputed", "price", "reason")
 
@@ -23,67 +24,65 @@ def validate_alerts(alerts: DataFrame, metadata: DataFrame, rules: AlertRules) -
     return joined.withColumn("reason", alert_reason(rules))
 
 
-def mark_duplicates(checked: DataFrame, accepted_before: DataFrame | None = None) -> DataFrame:
-    """Only the first passing alert of a key is accepted, later ones are duplicates.
+def mark_duplicates(checked: DataFrame) -> DataFrame:
+    """Only the first passing alert of a key, by (received_at, alert_id), is accepted; later ones are duplicates.
 
-    The first is found by an aggregate and joined back, not by a window: a key
-    repeated very often is combined map-side and its rows stay spread.
-    ``accepted_before`` holds keys accepted by earlier batches.
+    The first is found by aggregates over fixed-width columns and joined back,
+    not by a window: a key repeated very often is combined map-side and its
+    rows stay spread.
     """
-    order = F.struct("received_at", "alert_id")
     passing = F.col("reason") == "accepted"
-    first = checked.where(passing).groupBy("dedup_key").agg(F.min(order).alias("__first"))
-    if accepted_before is not None:
-        first = first.join(accepted_before.select("dedup_key").distinct(), "dedup_key", "left_anti")
+    rows = checked.where(passing).select("dedup_key", "received_at", "alert_id")
+    earliest = rows.groupBy("dedup_key").agg(F.min("received_at").alias("__at"))
+    # Of the rows that arrived first, the lowest id.
+    first = rows.join(earliest, "dedup_key").where("received_at = __at").groupBy("dedup_key").agg(F.min("__at").alias("__at"), F.min("alert_id").alias("__id"))
     j = checked.join(first, "dedup_key", "left")
-    taken = F.coalesce(F.col("__first") == order, F.lit(False))
-    return j.withColumn("reason", F.when(passing & ~taken, "duplicate_signal").otherwise(F.col("reason"))).drop("__first")
+    taken = F.coalesce((F.col("__at") == F.col("received_at")) & (F.col("__id") == F.col("alert_id")), F.lit(False))
+    return j.withColumn("reason", F.when(passing & ~taken, "duplicate_signal").otherwise(F.col("reason"))).drop("__at", "__id")
 
 
 def pending_rows(accepted: DataFrame, existing: DataFrame) -> DataFrame:
-    """New pending orders of accepted alerts; a (ticker, signal_date) already pending is left out."""
+    """Pending orders of accepted alerts, numbered after the highest id of ``existing``; one key is accepted once, so none is pending yet."""
     new = accepted.select(
         "alert_id", "signal_date", "ticker", F.coalesce("m_name", F.lit("")).alias("name"), F.coalesce("m_sector", F.lit("")).alias("sector"),
         F.col("stable_score_recomputed").alias("score"),
-    ).join(existing.select("ticker", "signal_date").distinct(), ["ticker", "signal_date"], "left_anti")
+    )
     numbered = allocate_ids(new.withColumn("pending_order_id", F.lit(None).cast("string")), existing, "pending_order_id", "PO", "alert_id")
     return numbered.select("pending_order_id", "signal_date", "ticker", "name", "sector", "score", F.lit("next_trading_day_open").alias("planned_entry"), F.lit("pending").alias("status"))
 
 
-PENDING_SCHEMA = "pending_order_id string, signal_date string, ticker string, name string, sector string, score long, planned_entry string, status string"
-
-
 class AlertIntake:
-    """Micro-batch job: log every alert, accept the first of each key, add pending orders.
+    """Streaming job: log every alert, accept the first of each key, add pending orders.
 
-    Each batch is written under its id, so a batch replayed after a failure
-    overwrites its own folder and earlier batches alone decide what is known.
+    What a key remembers is state of the query, and the last order id is one
+    row a batch, so a batch costs the same however long the log is. Each batch
+    is written under its id: replayed after a failure it overwrites its folder.
     """
 
-    def __init__(self, spark: SparkSession, base: str, metadata: DataFrame, rules: AlertRules):
-        self.spark, self.base, self.metadata, self.rules = spark, base.rstrip("/"), metadata, rules
+    def __init__(self, spark: SparkSession, base: str, metadata: DataFrame, rules: AlertRules, ttl_ms: int | None = None):
+        self.spark, self.base, self.metadata, self.rules, self.ttl_ms = spark, base.rstrip("/"), metadata, rules, ttl_ms
 
-    def _earlier(self, table: str, batch: int, schema: str) -> DataFrame:
-        found = written(self.spark, f"{self.base}/{table}", schema + ", v string", basePath=f"{self.base}/{table}")
-        if found is None:
-            return self.spark.createDataFrame([], schema)
-        return found.where(F.split_part("v", F.lit("-"), F.lit(1)).cast("long") < batch).drop("v")
+    def _last_id(self, batch: int) -> int:
+        """Highest order number before this batch: one row that the batch before it wrote."""
+        found = written(self.spark, f"{self.base}/last/v={batch - 1:08d}-batch", "number long")
+        return found.first().number if found is not None else 0
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        log_schema = "alert_id long, received_at timestamp, ticker string, signal_date string, dedup_key string, stable_score_payload double, stable_score_recomputed long, price string, reason string, m_name string, m_sector string"
-        before = self._earlier("alerts", batch_id, log_schema)
-        judged = mark_duplicates(validate_alerts(batch, self.metadata, self.rules), before.where("reason = 'accepted'"))
         folder = f"v={batch_id:08d}-batch"
-        judged.select(*LOG_COLUMNS, "m_name", "m_sector").write.mode("overwrite").parquet(f"{self.base}/alerts/{folder}")
+        batch.write.mode("overwrite").parquet(f"{self.base}/alerts/{folder}")
         # Read back so that the pending rows come from the rows just logged.
-        logged = self.spark.read.schema(log_schema).parquet(f"{self.base}/alerts/{folder}")
-        pending = pending_rows(logged.where("reason = 'accepted'"), self._earlier("pending", batch_id, PENDING_SCHEMA))
-        pending.write.mode("overwrite").parquet(f"{self.base}/pending/{folder}")
+        accepted = self.spark.read.schema(batch.schema).parquet(f"{self.base}/alerts/{folder}").where("reason = 'accepted'")
+        last = self._last_id(batch_id)
+        known = self.spark.range(1).select(F.concat(F.lit("PO"), F.lit(last).cast("string")).alias("pending_order_id"))
+        pending_rows(accepted, known).write.mode("overwrite").parquet(f"{self.base}/pending/{folder}")
+        self.spark.range(1).select((F.lit(last) + accepted.count()).alias("number")).write.mode("overwrite").parquet(f"{self.base}/last/{folder}")
 
     def start(self, alerts: DataFrame):
-        return (
-            alerts.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.base}/_checkpoint").trigger(availableNow=True).start()
-        )
+        checked = validate_alerts(alerts, self.metadata, self.rules).select(*LOG_COLUMNS, "m_name", "m_sector")
+        passing = F.col("reason") == "accepted"
+        judged = judged_stream(checked.where(passing), self.ttl_ms).select(*checked.columns)
+        log = judged.unionByName(checked.where(~passing))
+        return log.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.base}/_checkpoint").trigger(availableNow=True).start()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.base}/{name}").parquet(f"{self.base}/{name}").drop("v")
