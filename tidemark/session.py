@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,9 +64,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    for held in _SCOPES:
+        held.append(out)
     return out
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def staged_here():
+    """The tables staged while the block runs, so that its caller can remove them once their reader has written."""
+    held: list[DataFrame] = []
+    _SCOPES.append(held)
+    try:
+        yield held
+    finally:
+        _SCOPES[:] = [x for x in _SCOPES if x is not held]
+
+
 def release(*staged: DataFrame) -> None:
     """Remove staged tables that nothing reads any more; frames that ``stage`` did not return are left alone."""
     for df in staged:
