@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import stage
+from tidemark.session import release, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +30,19 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stage(large, "links")
+        release(links)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = stage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        release(large)
         state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break
         seen = state
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = nodes.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out.staged_at = links.staged_at  # for ``release``, once the components are read
+    return out
 
 
 def cells(members: DataFrame, group: str, node: str, limit: int) -> DataFrame:

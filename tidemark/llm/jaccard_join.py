@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.frames import cells, components, table
 from tidemark.llm.tokens import mix, shingles, slices, text_bytes, words
-from tidemark.session import stage
+from tidemark.session import release, stage
 
 #: Least similarity (per cent), fewest shingles in a piece that makes a region, growth of sizes from shell to shell, pieces
 #: to spare as a share of the differing shingles. A set of n shingles has about n / (differing * (1 + spare)) in a piece;
@@ -107,35 +107,40 @@ def _node(held: np.ndarray) -> int:
     return int(mix(whole).view(np.int64)[0])
 
 
-def sketch(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, node, regions) per row of ``docs``; node is null without words.
+def sketch(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, tk, n_shingles, node) per row of ``docs`` (doc_id, tk, text); node is null without words."""
 
-    Of equal sets in a partition the first has the regions, so copies do not
-    repeat them for the shuffle by region.
+    def run(batches):
+        for batch in batches:
+            held = [(len(x), _node(x) if len(x) else None) for x in _sets(width, batch.column("text"))]
+            columns = [batch.column("doc_id").cast(pa.int64()), batch.column("tk"), pa.array([n for n, _ in held], pa.int64()), pa.array([x for _, x in held], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tk", "n_shingles", "node"])
+
+    return docs.mapInArrow(run, "doc_id long, tk long, n_shingles long, node long")
+
+
+def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, regions) per set with words; they go into the shuffle by region and are written nowhere else.
+
+    Equal sets of a partition come once, so copies do not repeat their regions.
     """
     shells = Shells(percent)
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            node, keys, size = [], [], []
+            node, keys = [], []
             for held in _sets(width, batch.column("text")):
-                size.append(len(held))
-                node.append(_node(held) if len(held) else None)
-                keys.append(np.zeros(0, np.int64) if node[-1] in seen else regions(held, shells).view(np.int64))
-                seen.add(node[-1])
+                one = _node(held) if len(held) else None
+                if one is not None and one not in seen:
+                    seen.add(one)
+                    node.append(one)
+                    keys.append(regions(held, shells).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    pa.array(size, pa.int64()),
-                    pa.array(node, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]), pa.int64())),
-                ],
-                names=["doc_id", "n_shingles", "node", "regions"],
-            )
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), held], names=["node", "regions"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, regions array<long>")
+    return docs.select("text").mapInArrow(run, "node long, regions array<long>")
 
 
 class _Links:
@@ -242,23 +247,28 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     equal texts, also repeated rows, are one node and always in one group; rows
     without words link with nothing. An empty table gives an empty result.
     """
-    rows = stage(sketch(docs, width, percent), "sets")
-    keys = rows.where("node is not null").select("node", F.explode("regions").alias("region"))
+    # Rows without doc_id are found again by a hash of their text.
+    known = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tk"), "text")
+    rows = stage(sketch(known, width), "sets")
+    keys = placed(docs, width, percent).select("node", F.explode("regions").alias("region"))
     keys = keys.withColumn("lead", F.expr("min(node) over (partition by region)"))
     outer = components(keys.where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")))
 
-    held = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    members = stage(cells(outer, "component", "node", CELL).join(held, "node").select("component", "cell", "node", "doc_id"), "members")
-    texts = docs.select("doc_id", "text").join(members.select("doc_id", "node").distinct().hint("shuffle_hash"), "doc_id")
+    held = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("tk").alias("tk"))
+    owner = [F.coalesce("doc_id", "tk").alias("owner"), F.col("doc_id").isNull().alias("none")]
+    members = stage(cells(outer, "component", "node", CELL).join(held, "node").select("component", "cell", "node", *owner), "members")
+    release(outer)
+    texts = known.select(*owner, "text").join(members.select("owner", "none", "node").distinct().hint("shuffle_hash"), ["owner", "none"])
     wanted = stage(texts.select("node", "text").mapInArrow(_own_text(width), "node long, text string"), "texts")
     dealt = members.select("component", "cell", "node").join(wanted, "node")
     links = dealt.groupBy("component", "cell").applyInPandas(_join_cell(width, percent), "a long, b long")
 
     inner = components(links)
+    release(members, wanted)
     labels = held.join(inner, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = labels.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_texts"))
     labels = labels.join(least, "component").select("node", "least", "n_texts")
-    return rows.drop("regions").join(labels, "node", "left").select(
+    return rows.drop("tk").join(labels, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("n_texts", F.lit(1)).alias("n_texts")
     )
 
