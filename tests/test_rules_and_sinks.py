@@ -193,3 +193,20 @@ def test_a_batch_of_alerts_reads_only_the_batch_before(spark):
     assert [r.pending_order_id for r in job.table("pending").orderBy("pending_order_id").collect()] == ["PO000001", "PO000002", "PO000003"]
     kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert max(kept) == 3  # one flag a key, however many alerts
+
+
+def test_bucketed_upsert_leaves_other_buckets_alone(spark):
+    root = stage_root(spark) + f"/u-{dt.datetime.now().timestamp()}"
+    files_of = lambda: {r.b: r.f for r in spark.read.option("mergeSchema", "true").parquet(root).groupBy(F.col("bucket").alias("b")).agg(F.max(F.col("_metadata.file_path")).alias("f")).collect()}
+    first = spark.createDataFrame([(f"k{i}", "a", 0) for i in range(400)], "k string, v string, p int")
+    assert K.upsert_buckets(spark, root, first, ["k"], "p", 16) == (400, 0)
+    before = files_of()
+    update = spark.createDataFrame([("k7", "b", 1), ("k7", "c", 2), ("new", "d", 1)], "k string, v string, p int").withColumn("extra", F.lit("x"))
+    assert K.upsert_buckets(spark, root, update, ["k"], "p", 16) == (1, 2)
+    after = files_of()
+    changed = {b for b in after if after[b] != before[b]}
+    assert 1 <= len(changed) <= 2
+    once = sorted(map(tuple, spark.read.option("mergeSchema", "true").parquet(root).select("k", "v", "extra").fillna("").collect()))
+    assert len(once) == 401 and ("k7", "c", "x") in once and ("new", "d", "x") in once and ("k8", "a", "") in once
+    K.upsert_buckets(spark, root, update, ["k"], "p", 16)
+    assert sorted(map(tuple, spark.read.option("mergeSchema", "true").parquet(root).select("k", "v", "extra").fillna("").collect())) == once

@@ -911,6 +911,23 @@ def keyed_upsert(spark, sf):
     return merged
 
 
+@query(
+    """SELECT CAST(c_custkey AS VARCHAR) AS code, c_mktsegment AS segment, CASE WHEN c_nationkey = 3 THEN 'second' ELSE 'first' END AS run, CASE WHEN c_nationkey = 3 THEN c_acctbal END AS balance FROM customer
+    UNION ALL SELECT 's' || s_suppkey, 'supplier', 'second', s_acctbal FROM supplier WHERE s_nationkey = 3"""
+)
+def bucketed_upsert(spark, sf):
+    """A keyed table in hash buckets after two runs; the second, applied twice, touches some buckets and adds a column."""
+    path = f"{scratch(spark, 'buckets')}/t"
+    c, s = B.read(spark, sf, "customer"), B.read(spark, sf, "supplier")
+    first = c.select(F.col("c_custkey").cast("string").alias("code"), F.col("c_mktsegment").alias("segment"), F.lit("first").alias("run"), F.lit(0).alias("pos"))
+    again = c.where("c_nationkey = 3").select(F.col("c_custkey").cast("string").alias("code"), F.col("c_mktsegment").alias("segment"), F.lit("second").alias("run"), F.col("c_acctbal").alias("balance"), F.lit(1).alias("pos"))
+    new = s.where("s_nationkey = 3").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("code"), F.lit("supplier").alias("segment"), F.lit("second").alias("run"), F.col("s_acctbal").alias("balance"), F.lit(1).alias("pos"))
+    K.upsert_buckets(spark, path, first, ["code"], "pos")
+    for _ in range(2):
+        K.upsert_buckets(spark, path, again.unionByName(new), ["code"], "pos")
+    return spark.read.option("mergeSchema", "true").parquet(path).select("code", "segment", "run", "balance")
+
+
 @query("SELECT 'r1' AS run_id, 'demo' AS classification, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
 def labelled_aggregate(spark, sf):
     """An aggregate that passes the column guard, with provenance labels in front."""

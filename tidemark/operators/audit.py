@@ -93,17 +93,15 @@ def adjustment_continuity(bars: DataFrame, key: str = "Code", expected: float |
     normal = F.try_divide(raw, F.col("AdjFactor"))
     good = F.coalesce(normal.between(low, high) & adjusted.between(low, high), F.lit(False))
     match = F.lit(None).cast("boolean") if expected is None else F.coalesce(F.bool_or(F.abs(F.col("AdjFactor") - expected) <= 1e-12), F.lit(False))
-    # Factors per code are few; the distinct count runs on (code, factor) pairs.
-    distinct = bars.where("AdjFactor IS NOT NULL").select(key, "AdjFactor").distinct().groupBy(key).agg(F.count("*").alias("distinct_factors"))
     out = e.groupBy(key).agg(
         F.count("AdjFactor").alias("factor_observations"), F.count_if(changed).alias("factor_changes"),
         F.round(F.min("AdjFactor"), 8).alias("factor_min"), F.round(F.max("AdjFactor"), 8).alias("factor_max"),
         F.count_if(test).alias("boundaries_tested"), F.count_if(test & good).alias("boundaries_consistent"),
         F.round(F.min(F.when(test, raw)), 8).alias("raw_gap_min"), F.round(F.max(F.when(test, normal)), 8).alias("normalized_gap_max"),
-        match.alias("expected_factor_match"),
+        match.alias("expected_factor_match"), F.nullif(F.count_distinct("AdjFactor"), F.lit(0)).alias("distinct_factors"),
     )
     n, k = F.col("boundaries_tested"), F.col("boundaries_consistent")
-    return out.join(distinct, key, "left").withColumn("all_boundaries_consistent", (n > 0) & (n == k))
+    return out.withColumn("all_boundaries_consistent", (n > 0) & (n == k))
 
 
 def score_summary(rows: DataFrame, as_of: str) -> DataFrame:

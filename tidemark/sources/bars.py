@@ -134,6 +134,10 @@ def supplier_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Types whose values an aggregation buffer holds in place.
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+
+
 def last_wins(df: DataFrame, keys: Sequence[str], position: Column | str) -> DataFrame:
     """Keep the latest landed row per key.
 
@@ -142,6 +146,9 @@ def last_wins(df: DataFrame, keys: Sequence[str], position: Column | str) -> Dat
     """
     rest = [n for n in df.columns if n not in keys]
     order = F.col(position) if isinstance(position, str) else position
+    if all(isinstance(df.schema[n].dataType, FIXED_WIDTH) for n in rest):
+        # Every column of the winning row is found in the same pass, in buffers of fixed width: a hash aggregate without a sort.
+        return df.groupBy(*keys).agg(*[F.max_by(n, order).alias(n) for n in rest]).select(*df.columns)
     kept = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__row"))
     return kept.select(*keys, *[F.col(f"__row.{n}").alias(n) for n in rest]).select(*df.columns)
 
