@@ -40,7 +40,7 @@ NAMED, LANDMARK, FLOOR = 4, 2, 50
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head title script style noscript template svg math iframe object canvas select option button input textarea".split())
+HIDDEN = frozenset("head title script style noscript template svg iframe object canvas select option button input textarea".split())
 BESIDE = frozenset("form nav footer aside dialog menu".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
