@@ -14,10 +14,14 @@ from tidemark.llm.tokens import SPACE, slices, text_bytes, words
 
 #: Labelled documents of each class that the field is fitted to, at most; taken in the order of a hash of doc_id.
 SAMPLE = 400
+#: The fit takes a text as chains of this many lines, and of a longer text at most ``CHAINS`` of them, evenly spaced
+#: from its first to its last line. Judging decodes whole texts.
+CHAIN, CHAINS = 256, 8
 ROUNDS, RATE, DECAY = 80, 0.15, 1e-3
 #: Least share of a document's words in content lines.
 CONTENT = 0.5
 MIN_WORDS, MAX_REPEATED = 50, 50
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")
 
 _SYMBOL, _MARK, _UPPER, _DIGIT, _PIPE, _CONT = (np.zeros(256, bool) for _ in range(6))
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -91,8 +95,40 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text, count, features, base
 
 
+def viterbi(field: Field, text: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Most likely labels (true: content) of lines ordered by text.
+
+    One pass ahead and one back over the lines, a text after the other: time
+    and memory grow with the lines, however unevenly texts share them. Of equal
+    paths the one that says boilerplate at the later line is taken.
+    """
+    n = len(text)
+    emit = (features @ field.weights).tolist()
+    first = np.concatenate([[True], np.diff(text) != 0])[:n].tolist()
+    (s00, s01), (s10, s11) = field.step.tolist()
+    start0, start1 = field.start.tolist()
+    # Where the best path to each label comes from, and which label is better if the text ends here.
+    from0, from1, better = bytearray(n), bytearray(n), bytearray(n)
+    b0 = b1 = 0.0
+    for i in range(n):
+        if first[i]:
+            b0, b1 = start0, emit[i] + start1
+        else:
+            stay0, fall, rise, stay1 = b0 + s00, b1 + s10, b0 + s01, b1 + s11
+            from0[i], from1[i] = fall > stay0, stay1 > rise
+            b0, b1 = max(stay0, fall), max(rise, stay1) + emit[i]
+        better[i] = b1 > b0
+    label = bytearray(n)
+    for i in range(n - 1, -1, -1):
+        if i + 1 == n or first[i + 1]:
+            label[i] = better[i]
+        else:
+            label[i] = from1[i + 1] if label[i + 1] else from0[i + 1]
+    return np.frombuffer(label, np.uint8).astype(bool)
+
+
 def _padded(text: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``values`` per line as (place in text, text): texts in rows of equal place; and which places exist."""
+    """``values`` per line as (place in chain, chain): chains of at most ``CHAIN`` lines in rows of equal place; and which places exist."""
     _, text = np.unique(text, return_inverse=True)
     head = np.flatnonzero(np.concatenate([[True], np.diff(text) != 0]))
     place = np.arange(len(text)) - head[text]
@@ -102,31 +138,8 @@ def _padded(text: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, there
 
 
-def viterbi(field: Field, text: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Most likely labels (true: content) of lines ordered by text; texts are decoded side by side."""
-    if not len(text):
-        return np.zeros(0, bool)
-    score, there = _padded(text, np.stack([np.zeros(len(text)), features @ field.weights], axis=1))
-    best = np.zeros_like(score)
-    back = np.zeros(score.shape, np.int8)
-    best[0] = score[0] + field.start
-    for t in range(1, len(score)):
-        n = there[t]
-        by = best[t - 1][n][:, :, None] + field.step
-        back[t][n] = by.argmax(axis=1)
-        best[t][n] = by.max(axis=1) + score[t][n]
-    label = np.zeros(there.shape, np.int8)
-    ends = there.sum(axis=0) - 1
-    for t in range(len(score) - 1, -1, -1):
-        at_end, inside = ends == t, ends > t
-        label[t][at_end] = best[t][at_end].argmax(axis=1)
-        if t + 1 < len(score):
-            label[t][inside] = np.take_along_axis(back[t + 1][inside], label[t + 1][inside][:, None].astype(np.int64), axis=1)[:, 0]
-    return label.T[there.T].astype(bool)
-
-
 def fit(text: np.ndarray, features: np.ndarray, content: np.ndarray, weight: np.ndarray) -> Field:
-    """Maximum likelihood of the labels by gradient steps (Adam); ``weight`` per text in the order of text."""
+    """Maximum likelihood of the labels by gradient steps (Adam); ``text`` numbers the chains, ``weight`` is per chain in their order."""
     x, there = _padded(text, features)
     y, _ = _padded(text, content.astype(float))
     y = y.astype(int)
@@ -161,43 +174,61 @@ def fit(text: np.ndarray, features: np.ndarray, content: np.ndarray, weight: np.
     return Field(params[:WIDTH], params[WIDTH : WIDTH + 4].reshape(2, 2), params[WIDTH + 4 :])
 
 
+def chains(n_lines: int) -> list[tuple[int, int]]:
+    """Line ranges of a text that the fit uses: all of them in ``CHAIN`` lines each, or ``CHAINS`` evenly spaced ones."""
+    if n_lines <= CHAIN * CHAINS:
+        return [(k, min(k + CHAIN, n_lines)) for k in range(0, n_lines, CHAIN)]
+    return [(k, k + CHAIN) for k in np.linspace(0, n_lines - CHAIN, CHAINS).astype(int).tolist()]
+
+
 def _features(batches):
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         rows = []
         for i, j in slices(offsets):
             text, _, features, _ = lines_of(data, offsets[i : j + 1])
-            rows += [features[text == k].ravel().tolist() for k in range(j - i)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "quality", "features"])
+            for k in range(j - i):
+                a, b = np.searchsorted(text, [k, k + 1])
+                rows.append([features[a + x : a + y].tobytes() for x, y in chains(int(b - a))])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("quality").cast(pa.int32()), pa.array(rows, pa.list_(pa.binary()))], names=["id", "quality", "chains"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """Fit to at most ``SAMPLE`` labelled documents of each class: lines of good ones are content, of bad ones boilerplate.
 
-    A bad document's lines that are equal to none of the signs stay noise that
-    the fit averages out. Without both classes the answer is ``PRIOR``.
+    The driver holds at most 2 x ``SAMPLE`` x ``CHAINS`` x ``CHAIN`` lines. Of
+    rows that repeat a chosen doc_id the first by text hash is taken. A bad
+    document's lines that are equal to none of the signs stay noise that the
+    fit averages out. Without both classes the answer is ``PRIOR``.
     """
     pick = [labels.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
     chosen = pick[0].union(pick[1]).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, quality int, features array<double>").collect()
-    rows = sorted((r for r in rows if r.features), key=lambda r: (r.doc_id, r.features))
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = held.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select(F.col("doc_id").cast("string").alias("id"), "quality", "text").mapInArrow(_features, "id string, quality int, chains array<binary>").collect()
+    rows = sorted((r for r in rows if r.chains), key=lambda r: (len(r.id), r.id))
     n = np.bincount([r.quality for r in rows], minlength=2)
     if not n.all():
         return PRIOR
-    features = [np.array(r.features).reshape(-1, WIDTH) for r in rows]
-    text = np.repeat(np.arange(len(rows)), [len(x) for x in features])
+    features = [np.frombuffer(c).reshape(-1, WIDTH) for r in rows for c in r.chains]
+    lines = np.array([sum(len(c) for c in r.chains) // (8 * WIDTH) for r in rows])
     quality = np.array([r.quality for r in rows])
     # A line counts for its share of its document, a class as much as the other.
-    weight = len(rows) / (2 * n[quality] * np.array([len(x) for x in features]))
-    return fit(text, np.concatenate(features), quality[text], weight)
+    weight = len(rows) / (2 * n[quality] * lines)
+    of_chain = np.repeat(np.arange(len(rows)), [len(r.chains) for r in rows])
+    of_line = np.repeat(np.arange(len(features)), [len(x) for x in features])
+    return fit(of_line, np.concatenate(features), quality[of_chain[of_line]], weight[of_chain])
 
 
 def judge(docs: DataFrame, field: Field) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the base counts, base_failed, content_share, kept.
 
     Null and empty texts have no words and fail. content_share is the share of
-    words in lines decoded as content.
+    words in lines decoded as content. Repeated rows are judged each, an empty
+    table gives no rows, other columns stay; one with the name of a result is
+    replaced by it.
     """
+    docs = docs.drop(*RESULTS)
 
     def run(batches):
         for batch in batches:
@@ -210,9 +241,8 @@ def judge(docs: DataFrame, field: Field) -> DataFrame:
                 shares.append(content / np.maximum(base[:, 0], 1))
             base, share = np.concatenate(bases), np.concatenate(shares)
             failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEATED * base[:, 0])
-            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
             columns = [*map(pa.array, base.T.copy()), pa.array(failed), pa.array(share), pa.array(~failed & (share >= CONTENT))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names, "base_failed", "content_share", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *RESULTS])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
