@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import table
 
 WINDOW = 10
-#: The n-grams are broadcast up to this many; beyond it the windows are shuffled to them.
-BROADCAST_GRAMS = 500_000
+#: The n-grams with their items are broadcast up to this many bytes; beyond it the windows are shuffled to them,
+#: each n-gram in ``SALTS`` copies so that a window common in the corpus is many keys.
+BROADCAST_BYTES, SALTS = 64 << 20, 16
+#: Window starts in a block of words. A window row carries its block, not its text.
+BLOCK = 128
 #: Everything that is not part of a word: ASCII other than digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -42,28 +45,40 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFram
 
     Windows are looked up by a hash of three of their words and verified word
     by word. Every document also emits one marker, so nothing is joined back.
+    Texts are cut into blocks of words that overlap by a window, so a text of
+    any length costs in proportion to its words. Null and empty texts have no
+    words and no spans; repeated rows come back as often; an empty table gives
+    no rows and an empty benchmark no spans; other columns are not read.
     """
     known = grams(benchmark, width)
     lengths = sorted(r.length for r in known.select("length").distinct().collect())  # at most ``width`` numbers
-    few = known.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    words = docs.select("doc_id", F.xxhash64("text").alias("tk"), word_array(F.col("text")).alias("w"))
+    held = F.octet_length("gram") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16) + 64
+    few = (known.agg(F.sum(held.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+    words = docs.select("doc_id", F.xxhash64("text").alias("tk"), word_array(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / BLOCK).cast("int"))
+    cut = F.transform(starts, lambda b: F.struct((b * BLOCK).alias("base"), F.slice("w", b * BLOCK + 1, F.lit(BLOCK + width - 1)).alias("w")))
+    blocks = words.select("doc_id", "tk", "n", F.explode(cut).alias("x")).select("doc_id", "tk", F.when(F.col("x.base") == 0, F.col("n")).alias("n"), "x.base", "x.w")
 
     def anchors(length: int) -> Column:
-        long = F.size("w") >= length
-        last = F.when(long, F.size("w") - F.lit(length - 1)).otherwise(F.lit(0))
+        last = F.least(F.greatest(F.size("w") - F.lit(length - 1), F.lit(0)), F.lit(BLOCK))
         keys = F.transform(F.slice("w", F.lit(1), last), lambda w, i: _anchor(F.col("w"), i, w, length))
-        return F.transform(keys, lambda k, i: F.struct(k.alias("anchor"), i.alias("at"), F.lit(length).alias("length")))
+        return F.transform(keys, lambda k, i: F.struct(k.alias("anchor"), i.alias("i"), F.lit(length).alias("length")))
 
-    marker = F.array(F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(-1).alias("at"), F.lit(0).alias("length")))
-    seen = words.withColumn("x", F.explode(F.concat(marker, *map(anchors, lengths)))).select("doc_id", "tk", "w", "x.*")
-    text = F.array_join(F.slice("w", F.col("at") + 1, F.col("length")), " ")
+    # The first block of a document also emits its marker (i = -1).
+    marker = F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(-1).alias("i"), F.lit(0).alias("length"))
+    marks = F.filter(F.array(marker), lambda m: F.col("base") == 0)
+    seen = blocks.withColumn("x", F.explode(F.concat(marks, *map(anchors, lengths)))).select("doc_id", "tk", "n", "base", "w", "x.*")
+    text = F.array_join(F.slice("w", F.col("i") + 1, F.col("length")), " ")
     if few:
-        found = seen.join(F.broadcast(known.withColumnRenamed("length", "l")), "anchor", "left").where((F.col("at") < 0) | (text == F.col("gram")))
-        found = found.select("doc_id", "tk", F.when(F.col("at") < 0, F.size("w")).alias("n"), "at", "length", "items")
+        # The n-gram stands first: where there is none, the window's text is never made.
+        found = seen.join(F.broadcast(known.withColumnRenamed("length", "l")), "anchor", "left").where((F.col("i") < 0) | (F.col("gram") == text))
     else:
-        seen = seen.select("doc_id", "tk", F.when(F.col("at") < 0, F.size("w")).alias("n"), "at", "length", F.when(F.col("at") >= 0, text).alias("gram"))
-        found = seen.join(known.select("gram", F.col("length").alias("l"), "items"), (seen["gram"] == known["gram"]) & (F.col("length") == F.col("l")), "left")
-        found = found.where((F.col("at") < 0) | F.col("items").isNotNull()).select("doc_id", "tk", "n", "at", "length", "items")
+        seen = seen.select("doc_id", "tk", "n", "base", "i", "length", F.when(F.col("i") >= 0, text).alias("g"), F.pmod(F.xxhash64("doc_id", "base", "i"), F.lit(SALTS)).alias("salt"))
+        salted = known.select("gram", F.col("length").alias("l"), "items", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+        found = seen.join(salted, (F.col("g") == F.col("gram")) & (F.col("length") == F.col("l")) & (F.col("salt") == F.col("part")), "left")
+        found = found.where((F.col("i") < 0) | F.col("items").isNotNull())
+    at = F.when(F.col("i") >= 0, F.col("base") + F.col("i")).otherwise(-1)
+    found = found.select("doc_id", "tk", F.when(F.col("i") < 0, F.col("n")).alias("n"), at.alias("at"), "length", "items")
     span = F.when(F.col("at") >= 0, F.struct("at", (F.col("at") + F.col("length")).alias("to")))
     by_doc = found.groupBy("doc_id", "tk").agg(
         F.max("n").alias("n_words"), F.collect_set(span).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count("n").alias("times")
