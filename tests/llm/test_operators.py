@@ -1,6 +1,7 @@
 """Operators of tidemark.llm against brute force, hand-made cases and edge rows."""
 
 import collections
+import itertools
 import re
 import zlib
 
@@ -333,3 +334,78 @@ def test_pipeline_stages_take_effect(spark):
     assert all(not r.spans for r in decontaminate.hits(docs, table(spark, SF, "benchmark")).collect())
     mixed = p.run(spark, SF)
     assert mixed.where(F.col("taken") <= 0).count() == 0 and mixed.select("doc_id").distinct().count() <= seen[4]
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(3)
+    for lengths in ([1], [7], [3, 1, 6, 2], [1, 9, 1]):
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        features = rng.normal(size=(len(text), quality_rules.WIDTH))
+        field = quality_rules.Field(rng.normal(size=quality_rules.WIDTH), rng.normal(size=(2, 2)), rng.normal(size=2))
+        want = []
+        for k, n in enumerate(lengths):
+            emit = features[text == k] @ field.weights
+            score = lambda y: field.start[y[0]] + sum(e for e, a in zip(emit, y) if a) + sum(field.step[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+            want += max(itertools.product((0, 1), repeat=n), key=score)
+        assert quality_rules.viterbi(field, text, features).tolist() == [bool(y) for y in want]
+    assert not len(quality_rules.viterbi(field, text[:0], features[:0]))
+
+
+def test_chains_cover_a_text_or_are_spaced_over_it():
+    size, most = quality_rules.CHAIN, quality_rules.CHAIN * quality_rules.CHAINS
+    for n in (0, 1, size, size + 1, most):
+        assert [i for a, b in quality_rules.chains(n) for i in range(a, b)] == list(range(n))
+    got = quality_rules.chains(300_000)
+    assert len(got) == quality_rules.CHAINS and got[0][0] == 0 and got[-1][1] == 300_000 and all(b - a == size for a, b in got)
+
+
+def test_quality_of_a_very_long_text_text_ids_and_clashing_names(spark):
+    good = "\n".join(f"This is an ordinary sentence number {i} of a calm report." for i in range(8))
+    bad = "\n".join("BUY | NOW ### !!! $$$" for _ in range(14))
+    rows = [(f"d{i}", good if i % 2 else bad, 7, "x") for i in range(40)] + [("long", "\n".join(f"Line {i} of a long calm report." for i in range(300_000)), 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, n_words int, kept string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, 0) for i in range(40)] + [("long", 1, 0)], "doc_id string, quality int, toxic int")
+    out = quality_rules.judge(docs, quality_rules.train(docs.union(docs), labels))
+    assert sorted(out.columns) == sorted(["doc_id", "text", *quality_rules.RESULTS])
+    got = {r.doc_id: r for r in out.collect()}
+    long = got["long"]  # its words repeat from line to line, so the base rule fails it; all its lines are decoded
+    assert (long.n_words, long.n_repeat_words, long.content_share, long.base_failed) == (2_100_000, 1_799_999, 1.0, True)
+    assert got["d1"].content_share == 1.0 and got["d0"].content_share == 0.0
+
+
+def brute_hits(text, items, width):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UP))
+    hit, seen = set(), set()
+    for item, g in items:
+        n = min(width, len(g))
+        grams = {tuple(g[k : k + n]) for k in range(len(g) - n + 1)} if g else set()
+        for k in range(len(w) - n + 1):
+            if tuple(w[k : k + n]) in grams:
+                hit.update(range(k, k + n))
+                seen.add(item)
+    return len(w), len(hit), sorted(seen)
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_decontamination_equals_brute_force_broadcast_and_shuffled(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    bench = [("a", " ".join(f"q{i}" for i in range(25))), ("b", "Short Passage"), ("c", " ".join(f"q{i}" for i in range(5, 18))), ("d", None), ("e", "")]
+    block = decontaminate.BLOCK
+    texts = [None, "", "a short passage. here", bench[0][1], "short passage " * 200]
+    for lead in (0, 1, block - 10, block - 5, block - 1, block, block + 1, 3 * block - 3):
+        texts.append(" ".join(["z"] * lead) + " " + bench[0][1] + " tail" * (lead % 3))
+    texts += [" ".join(["z"] * n) for n in (block - 1, block, block + 1)] + [texts[3], texts[3]]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, items string")
+    got = {r.doc_id: r for r in decontaminate.hits(docs, spark.createDataFrame(bench, "item_id string, text string")).collect()}
+    items = [(i, re.findall(r"\w+", (t or "").lower())) for i, t in bench]
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, sum(s.to - s.at for s in r.spans), r.items) == brute_hits(t, items, decontaminate.WINDOW), i
+
+
+def test_decontamination_of_a_million_words(spark):
+    docs = spark.range(1).select(F.lit(1).alias("doc_id"), F.concat(F.repeat(F.lit("one two three "), 333_333), F.lit("the planted test passage of ten words stands just here")).alias("text"))
+    bench = spark.createDataFrame([("t", "the planted test passage of ten words stands just here")], "item_id string, text string")
+    r = decontaminate.hits(docs, bench).first()
+    assert (r.n_words, [tuple(s) for s in r.spans], r.items) == (1_000_009, [(999_999, 1_000_009)], ["t"])
