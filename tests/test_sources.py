@@ -1,5 +1,6 @@
 """Landed provider files: row arrays, column pairs in either order, last row wins."""
 
+import hashlib
 import json
 import os
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import stage_root
 from tidemark.sources import bars as B
+from tidemark.sources import files
 
 
 def test_row_array_files_and_other_shapes(spark, tmp_path):
@@ -44,3 +46,26 @@ def test_bad_numbers_become_null_and_basis_is_checked(spark):
 
 def test_stage_folder_is_kept_for_the_session(spark):
     assert stage_root(spark) == stage_root(spark)
+
+
+def test_bundle_hash_is_a_tree_over_path_hashes(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(f"raw/k={i}", 1, sha(str(i)), "c" if i % 3 else "d") for i in range(700)]
+    rows.append(rows[0])
+    df = spark.createDataFrame(rows, "relative_path string, bytes long, sha256 string, category string")
+
+    def root(nodes, digits=(4, 2, 0)):
+        for d in digits:
+            up = {}
+            for place, h in sorted(nodes):
+                up.setdefault(place[:d], []).append(h)
+            nodes = [(place, sha("".join(hs))) for place, hs in up.items()]
+        return nodes[0][1]
+
+    got = {r.category: (r.files, r.bundle_sha256) for r in files.bundle_hashes(df).collect()}
+    for c in "cd":
+        mine = [(sha(r[0]), sha(f"{r[0]}:{r[2]}")) for r in rows if r[3] == c]
+        assert got[c] == (len(mine), root(mine))
+    shuffled = files.bundle_hashes(df.orderBy(F.desc("sha256"))).collect()
+    assert {r.category: (r.files, r.bundle_sha256) for r in shuffled} == got
+    assert files.bundle_hashes(df.limit(0)).count() == 0

@@ -8,13 +8,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog.diagnostics import diag
+from tidemark.catalog.indicators import FRAME_COLUMNS, FRAME_SELECT
 from tidemark.catalog.registry import query, shared
-from tidemark.catalog.sql import cte, padded, sql
+from tidemark.catalog.sql import cte, frame_ctes, padded, sql
 from tidemark.config import STRONG_SECTORS
 from tidemark.functions import rules as R
 from tidemark.functions import values as V
 from tidemark.operators import audit as A
 from tidemark.operators import paper as P
+from tidemark.operators import signals as S
 from tidemark.operators import universe as uni
 from tidemark.plans.daily_score import REPORT_COLUMNS, score_rows
 from tidemark.plans.study import Study
@@ -254,10 +256,16 @@ def accepted_only_dedup(spark, sf):
     return SA.mark_duplicates(v).select("alert_id", "dedup_key", "reason")
 
 
-@query(sql("SELECT alert_id, 'T' || chr(10) || chr(10) || 'Ticker: ' || ticker || chr(10) || 'Name: ' || coalesce(name, '') AS head, CAST(15 AS BIGINT) AS lines FROM achk", "achk"))
+@query(
+    sql(
+        """SELECT alert_id, concat_ws(chr(10), 'T', '', 'Ticker: ' || ticker, 'Name: ' || coalesce(name, ''), 'Score: ' || rs, 'Price: ' || price, 'RSI: ', 'Volume Ratio: ', '',
+          'Entry: Next trading day open', 'Stop: -10%', 'Take Profit: +30%', 'Max Holding: 60 trading days', '', 'Paper Trading Mode: record only') AS message FROM achk""",
+        "achk",
+    )
+)
 def signal_messages(spark, sf):
-    m = SA.validate_alerts(alert_payloads(spark, sf), alert_metadata(spark, sf), RULES).withColumn("m", R.signal_message("T"))
-    return m.select("alert_id", F.substring_index("m", "\n", 4).alias("head"), F.size(F.split("m", "\n")).cast("long").alias("lines"))
+    """Whole notification texts."""
+    return SA.validate_alerts(alert_payloads(spark, sf), alert_metadata(spark, sf), RULES).select("alert_id", R.signal_message("T").alias("message"))
 
 
 @query(
@@ -380,6 +388,35 @@ def clean_ohlcv(spark, sf):
     return B.clean_ohlcv(B.price_basis(B.normalize_bars(provider_bars(spark, sf)), "raw")).select("ticker", "date", "open", "close", "volume")
 
 
+BASES = {"adjusted": ("adj", "p * 10", "p * 15", "p * 5", "p * 10 + 10", "true"), "raw": ("rawb", "p", "p * 1.5", "p * 0.5", "p + 1", "q <> 13")}
+for _name, _open, _high, _low, _close, _valid in BASES.values():
+    cte(_name, f"""SELECT Code AS ticker, Date AS date, {_open} AS "open", {_high} AS high, {_low} AS low, {_close} AS "close", q AS volume, v AS va FROM prov WHERE {_valid}""", "prov")
+    frame_ctes(_name)
+BASIS_DBL = "weekly_200ma weekly_macd weekly_macd_signal daily_rsi volume_30ma median_va_60"
+
+
+# Closes are compared by price_basis and clean_ohlcv; here their fourth digit is often an exact half.
+BASIS_SELECT = FRAME_SELECT.replace('"close", ', "") + ", median_va_60"
+
+
+def frame_of_basis(spark, sf, basis: str):
+    """Provider bars on one basis, cleaned, with indicators, flags, score and liquidity."""
+    bars = B.clean_ohlcv(B.price_basis(B.normalize_bars(provider_bars(spark, sf)), basis))
+    return S.signal_frame(bars, liquidity=True).select(*FRAME_COLUMNS, "median_va_60").drop("close")
+
+
+@query(sql(BASIS_SELECT + " FROM adj_frame", "adj_frame"), dbl=BASIS_DBL, digits=4)
+def signal_frame_adjusted(spark, sf):
+    """Signal frame on the adjusted basis of the provider bars."""
+    return frame_of_basis(spark, sf, "adjusted")
+
+
+@query(sql(BASIS_SELECT + " FROM rawb_frame", "rawb_frame"), dbl=BASIS_DBL, digits=4)
+def signal_frame_raw(spark, sf):
+    """Signal frame on the raw basis of the provider bars; rows without a close are left out before the windows."""
+    return frame_of_basis(spark, sf, "raw")
+
+
 @query(
     sql(
         """SELECT ticker, count(*) FILTER (l <= 0) AS nonpositive_ohlc_rows_removed, count(*) FILTER (vol <= 0) AS nonpositive_volume_rows_removed FROM (
@@ -783,10 +820,12 @@ def metadata_source(spark, sf):
     """Metadata CSV with repeated tickers in two spellings; the last landed row wins."""
     path = scratch(spark, "meta")
     s = B.read(spark, sf, "supplier")
-    rows = lambda t, cap, n: s.select(t.alias("ticker"), F.col("s_name").alias("name"), cap.alias("market_cap"), F.lit(n).alias("n"))
-    both = rows(F.concat(F.col("s_suppkey").cast("string"), F.lit(".t")), F.lit("0"), 0).unionByName(rows(F.col("s_suppkey").cast("string"), F.col("s_acctbal").cast("string"), 1))
-    both.repartitionByRange(1, "n").sortWithinPartitions("n").drop("n").write.option("header", True).csv(path)
-    landed = spark.read.csv(path, header=True).withColumn("pos", files.landed_order())
+    rows = lambda t, cap: s.select(t.alias("ticker"), F.col("s_name").alias("name"), cap.alias("market_cap"))
+    # Two loads, each in as many files as it has partitions; the load comes first in the order of rows.
+    loads = rows(F.concat(F.col("s_suppkey").cast("string"), F.lit(".t")), F.lit("0")), rows(F.col("s_suppkey").cast("string"), F.col("s_acctbal").cast("string"))
+    for k, load in enumerate(loads):
+        load.repartition(3).write.option("header", True).csv(f"{path}/load={k}")
+    landed = spark.read.csv(path, header=True).withColumn("pos", F.struct("load", files.landed_order().alias("at"))).drop("load")
     return files.metadata_by_ticker(landed, "pos").select("ticker", "name", "market_cap")
 
 
@@ -806,15 +845,12 @@ def json_sink(spark, sf):
     """SELECT CAST(o_orderkey AS VARCHAR) AS "Code", CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS "Date" FROM orders"""
 )
 def json_row_arrays(spark, sf):
-    """Row arrays of one folder in one read, one array per line."""
+    """Row-array files of one folder in one read: an array of at most 4,096 keys a file."""
     path = scratch(spark, "rows")
-    o = B.read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("Code"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"), F.year("o_orderdate").alias("y"), F.col("o_custkey") % 64)
-    # Arrays of at most a few hundred rows, one per (year, bucket, block of keys).
-    block = F.floor(F.col("Code").cast("long") / 256)
-    arrays = o.groupBy("y", block.alias("b")).agg(F.collect_list(F.struct("Code", "Date")).alias("a"))
-    arrays.select(F.to_json("a")).write.option("lineSep", "\n").text(path)
-    # One array per line: the reader also takes whole-file arrays with multiLine.
-    return spark.read.schema(B.BAR_SCHEMA).json(path, mode="FAILFAST").select("Code", "Date")
+    o = B.read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("Code"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date"), F.floor(F.col("o_orderkey") / 4096).alias("b"))
+    arrays = o.groupBy("b").agg(F.to_json(F.collect_list(F.struct("Code", "Date"))).alias("a"))
+    arrays.write.partitionBy("b").text(path)
+    return B.read_json_rows(spark, path, B.BAR_SCHEMA).select("Code", "Date")
 
 
 @query(
@@ -832,13 +868,24 @@ def request_audit(spark, sf):
     return files.request_audit(spark.read.schema("attempt long, endpoint string").json(a), spark.read.schema("status int").json(r))
 
 
-@query()
+@query(
+    """WITH leaf AS (SELECT category, sha256(path) AS place, sha256(path || ':' || sha256(content || chr(10))) AS hash FROM (
+        SELECT CASE l_returnflag WHEN 'R' THEN 'raw_responses' WHEN 'A' THEN 'normalized_or_reconstructible_data' ELSE 'private_run_metadata' END AS category,
+          CASE l_returnflag WHEN 'R' THEN 'raw' WHEN 'A' THEN 'normalized' ELSE 'other' END || '/k=' || l_suppkey AS path,
+          l_suppkey || '|' || count(*) || '|' || CAST(sum(l_quantity) AS BIGINT) AS content FROM lineitem GROUP BY l_returnflag, l_suppkey)),
+      four AS (SELECT category, left(place, 4) AS place, sha256(string_agg(hash, '' ORDER BY place, hash)) AS hash, count(*) AS files FROM leaf GROUP BY category, left(place, 4)),
+      two AS (SELECT category, left(place, 2) AS place, sha256(string_agg(hash, '' ORDER BY place)) AS hash, sum(files) AS files FROM four GROUP BY category, left(place, 2))
+    SELECT category, CAST(sum(files) AS BIGINT) AS files, sha256(string_agg(hash, '' ORDER BY place)) AS bundle_sha256 FROM two GROUP BY category"""
+)
 def file_fingerprints(spark, sf):
-    """Hashes and categories of a written run folder, with one bundle hash per category."""
+    """Bundle hash per category of a written run folder: one file for each supplier and return flag of the line items."""
     root = scratch(spark, "run")
-    for folder in ("raw", "normalized", "other"):
-        B.read(spark, sf, "nation").join(F.broadcast(B.read(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey")).coalesce(1).write.json(f"{root}/{folder}")
-    prints = stage(files.fingerprint_files(spark, root), "prints")
+    content = F.concat_ws("|", "l_suppkey", F.count("*"), F.sum("l_quantity").cast("long"))
+    rows = stage(B.read(spark, sf, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(content.alias("content")), "contents")
+    for flag, folder in (("R", "raw"), ("A", "normalized"), ("N", "other")):
+        rows.where(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("k"), "content").write.partitionBy("k").text(f"{root}/{folder}")
+    # A folder holds one file, whose own name is random.
+    prints = files.fingerprint_files(spark, root).withColumn("relative_path", F.regexp_replace("relative_path", "/[^/]*$", ""))
     return files.bundle_hashes(prints)
 
 
