@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.diagnostics import capital_sql, diag
-from tidemark.catalog.registry import query
+from tidemark.catalog.registry import query, shared
 from tidemark.catalog.sql import conc_sql, cte, sql, tstats
 from tidemark.operators import inference as inf
 from tidemark.operators import metrics as M
+from tidemark.plans.study import Study
+from tidemark.session import stage
 
-# The supplied tables span two years after warm-up; sample limits are scaled to them, replicates are not.
+# Validation and holdout of the supplied tables hold a few months; their comparisons use scaled sample limits, those over all years the frozen ones.
 POLICY = inf.Policy(min_trades=3, min_clusters=3)
+CLUSTERS = inf.Policy().min_clusters
 EXPANDED = ("liquid50", "liquid100")
 PAIR = "hypothesis, universe, split"
 
@@ -29,19 +32,21 @@ cte(
     "hshadow", "qcont", "ucont", "ucurve",
 )
 cte("hshadow", """SELECT a.*, p.split FROM ushadow a JOIN osplits p ON signal_date BETWEEN p."start" AND p."end" AND entry_date >= p."start" AND exit_date <= p."end" """, "ushadow", "osplits")
-cte(
-    "hmonths",
-    f"""SELECT {PAIR}, strftime(signal_date, '%Y-%m') AS month, coalesce(sum(value) FILTER (arm = 'left'), 0) AS ls, count(value) FILTER (arm = 'left') AS lc,
-      coalesce(sum(value) FILTER (arm = 'right'), 0) AS rs, count(value) FILTER (arm = 'right') AS rc FROM arms WHERE is_closed AND value IS NOT NULL GROUP BY ALL""",
-    "arms",
-)
-cte(
-    "hobs",
-    f"""SELECT *, left_sum / nullif(left_closed_trades, 0) - right_sum / nullif(right_closed_trades, 0) AS observed_difference FROM (
+
+
+def months_sql(arms: str) -> str:
+    return f"""SELECT {PAIR}, strftime(signal_date, '%Y-%m') AS month, coalesce(sum(value) FILTER (arm = 'left'), 0) AS ls, count(value) FILTER (arm = 'left') AS lc,
+      coalesce(sum(value) FILTER (arm = 'right'), 0) AS rs, count(value) FILTER (arm = 'right') AS rc FROM {arms} WHERE is_closed AND value IS NOT NULL GROUP BY ALL"""
+
+
+def obs_sql(months: str) -> str:
+    return f"""SELECT *, left_sum / nullif(left_closed_trades, 0) - right_sum / nullif(right_closed_trades, 0) AS observed_difference FROM (
       SELECT {PAIR}, sum(ls) AS left_sum, sum(rs) AS right_sum, CAST(sum(lc) AS BIGINT) AS left_closed_trades, CAST(sum(rc) AS BIGINT) AS right_closed_trades,
-        count(*) AS signal_month_clusters FROM hmonths GROUP BY ALL)""",
-    "hmonths",
-)
+        count(*) AS signal_month_clusters FROM {months} GROUP BY ALL)"""
+
+
+cte("hmonths", months_sql("arms"), "arms")
+cte("hobs", obs_sql("hmonths"), "hmonths")
 
 
 def draw_sql(seed: str, m: str) -> str:
@@ -56,35 +61,35 @@ def seed_sql(label: str) -> str:
     return f"(20260727 + CAST('0x' || substr(md5({label}), 1, 7) AS BIGINT)) % 2147483647"
 
 
-cte(
-    "hboot",
-    f"""SELECT o.{PAIR.replace(", ", ", o.")}, left_closed_trades, right_closed_trades, signal_month_clusters, observed_difference, valid_replicate_fraction,
+def boot_sql(obs: str, months: str, trades: int, clusters: int) -> str:
+    return f"""SELECT o.{PAIR.replace(", ", ", o.")}, left_closed_trades, right_closed_trades, signal_month_clusters, observed_difference, valid_replicate_fraction,
       same_direction_fraction, ci_low, ci_high, CASE WHEN valid_replicate_fraction IS NOT NULL THEN 'SUFFICIENT' ELSE 'INSUFFICIENT_SAMPLE' END AS status,
       coalesce(valid_replicate_fraction >= 0.99 AND same_direction_fraction >= 0.95
         AND ((ci_low > 0 AND observed_difference > 0) OR (ci_high < 0 AND observed_difference < 0)), false) AS direction_stable
-    FROM hobs o LEFT JOIN (
+    FROM {obs} o LEFT JOIN (
       SELECT {PAIR}, count(*) / 10000.0 AS valid_replicate_fraction, avg((sign(x) = sign(od))::INT) AS same_direction_fraction,
         quantile_cont(x, 0.025) AS ci_low, quantile_cont(x, 0.975) AS ci_high
       FROM (SELECT {PAIR}, rep, any_value(od) AS od, sum(ls) / sum(lc) - sum(rs) / sum(rc) AS x FROM (
           SELECT d.hypothesis, d.universe, d.split, d.rep, d.od, c.ls, c.lc, c.rs, c.rc FROM (
             SELECT *, {draw_sql("seed", "m")} AS j FROM (
               SELECT {PAIR}, observed_difference AS od, signal_month_clusters AS m, unnest(range(1, signal_month_clusters + 1)) AS i,
-                {seed_sql("hypothesis || ':' || universe || ':' || split")} AS seed FROM hobs
-              WHERE left_closed_trades >= 3 AND right_closed_trades >= 3 AND signal_month_clusters >= 3 AND observed_difference <> 0),
+                {seed_sql("hypothesis || ':' || universe || ':' || split")} AS seed FROM {obs}
+              WHERE left_closed_trades >= {trades} AND right_closed_trades >= {trades} AND signal_month_clusters >= {clusters} AND observed_difference <> 0),
               (SELECT unnest(range(0, 10000)) AS rep)) d
-          JOIN (SELECT *, row_number() OVER (PARTITION BY {PAIR} ORDER BY month) - 1 AS j FROM hmonths) c USING ({PAIR}, j))
-        GROUP BY ALL HAVING sum(lc) > 0 AND sum(rc) > 0) GROUP BY ALL) b USING ({PAIR})""",
-    "hobs", "hmonths",
-)
+          JOIN (SELECT *, row_number() OVER (PARTITION BY {PAIR} ORDER BY month) - 1 AS j FROM {months}) c USING ({PAIR}, j))
+        GROUP BY ALL HAVING sum(lc) > 0 AND sum(rc) > 0) GROUP BY ALL) b USING ({PAIR})"""
+
+
+cte("hboot", boot_sql("hobs", "hmonths", 3, 3), "hobs", "hmonths")
 
 
-def loo_sql(column: str, sign: str) -> str:
+def loo_sql(column: str, sign: str, arms: str = "arms", trades: int = 3) -> str:
     return f"""SELECT {PAIR}, count(*) AS bucket_count, count(effect) AS evaluable_leave_one_out_count, min(effect) AS minimum_effect, max(effect) AS maximum_effect,
       count(*) FILTER (sign(effect) = {sign}) / nullif(count(effect), 0) AS direction_stable_fraction,
       count(effect) > 0 AND count(effect) = count(*) AND count(*) FILTER (sign(effect) = {sign}) = count(effect) AS direction_stable
-    FROM (SELECT {PAIR}, {column}, CASE WHEN count(lv) >= 3 AND count(rv) >= 3 THEN avg(lv) - avg(rv) END AS effect FROM (
+    FROM (SELECT {PAIR}, {column}, CASE WHEN count(lv) >= {trades} AND count(rv) >= {trades} THEN avg(lv) - avg(rv) END AS effect FROM (
         SELECT b.*, CASE WHEN a.arm = 'left' THEN a.value END AS lv, CASE WHEN a.arm = 'right' THEN a.value END AS rv
-        FROM (SELECT DISTINCT {PAIR}, {column} FROM arms) b LEFT JOIN (SELECT * FROM arms WHERE is_closed AND value IS NOT NULL) a
+        FROM (SELECT DISTINCT {PAIR}, {column} FROM {arms}) b LEFT JOIN (SELECT * FROM {arms} WHERE is_closed AND value IS NOT NULL) a
           ON a.hypothesis = b.hypothesis AND a.universe = b.universe AND a.split = b.split AND a.{column} <> b.{column}) GROUP BY {PAIR}, {column})
     GROUP BY {PAIR}"""
 
@@ -126,13 +131,13 @@ def cluster_bootstrap(spark, sf):
         o AS (SELECT universe, count(*) AS m, avg(diff) AS od, {seed_sql("'paired:' || universe")} AS seed FROM p GROUP BY universe),
         c AS (SELECT *, row_number() OVER (PARTITION BY universe ORDER BY month) - 1 AS j FROM p),
         x AS (SELECT universe, rep, any_value(od) AS od, avg(diff) AS x FROM (
-          SELECT q.universe, q.rep, q.od, c.diff FROM (SELECT *, {draw_sql("seed", "m")} AS j FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM o WHERE m >= 3),
+          SELECT q.universe, q.rep, q.od, c.diff FROM (SELECT *, {draw_sql("seed", "m")} AS j FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM o WHERE m >= {CLUSTERS}),
             (SELECT unnest(range(0, 10000)) AS rep)) q JOIN c USING (universe, j)) GROUP BY ALL),
         b AS (SELECT universe, avg((sign(x) = CASE WHEN od > 0 THEN 1 ELSE -1 END)::INT) AS same_direction_fraction, quantile_cont(x, 0.025) AS ci_low,
           quantile_cont(x, 0.975) AS ci_high FROM x GROUP BY universe)
-        SELECT universe, m AS paired_months, CASE WHEN m >= 3 THEN od END AS observed_difference, same_direction_fraction, ci_low, ci_high,
+        SELECT universe, m AS paired_months, CASE WHEN m >= {CLUSTERS} THEN od END AS observed_difference, same_direction_fraction, ci_low, ci_high,
           coalesce(same_direction_fraction >= 0.95 AND ((od > 0 AND ci_low > 0) OR (od < 0 AND ci_high < 0)), false) AS direction_stable,
-          CASE WHEN m >= 3 THEN 'SUFFICIENT' ELSE 'INSUFFICIENT_SAMPLE' END AS status FROM o LEFT JOIN b USING (universe)""",
+          CASE WHEN m >= {CLUSTERS} THEN 'SUFFICIENT' ELSE 'INSUFFICIENT_SAMPLE' END AS status FROM o LEFT JOIN b USING (universe)""",
         "days",
     ),
     dbl="observed_difference same_direction_fraction ci_low ci_high", digits=3,
@@ -145,7 +150,7 @@ def paired_month_bootstrap(spark, sf):
     for u in EXPANDED:
         one = inf.paired_months(months, u, "static").withColumn("universe", F.lit(u))
         pairs = one if pairs is None else pairs.unionByName(one)
-    return inf.paired_bootstrap(pairs, ["universe"], POLICY)
+    return inf.paired_bootstrap(pairs, ["universe"])
 
 
 LOO_DBL = "minimum_effect maximum_effect direction_stable_fraction"
@@ -161,25 +166,31 @@ def leave_one_sector_out(spark, sf):
     return inf.leave_one_out(arms_of(diag(spark, sf)), "sector", POLICY)
 
 
-def tops_sql(column: str) -> str:
+def tops_sql(column: str, arms: str = "arms") -> str:
     return f"""SELECT {PAIR}, max(s) FILTER (arm = 'left') AS left_top_{column}_share, max(s) FILTER (arm = 'right') AS right_top_{column}_share FROM (
-      {conc_sql("(SELECT * FROM arms WHERE is_closed)", PAIR + ", arm", column, "", "s", "h", "d")}) GROUP BY {PAIR}"""
+      {conc_sql(f"(SELECT * FROM {arms} WHERE is_closed)", PAIR + ", arm", column, "", "s", "h", "d")}) GROUP BY {PAIR}"""
 
 
-cte(
-    "hpairs",
-    f"""SELECT *, coalesce(sign(observed_difference) = {SIGN}, false) AS observed_direction_matches,
+def pairs_sql(boot: str, arms: str, trades: int) -> str:
+    return f"""SELECT *, coalesce(sign(observed_difference) = {SIGN}, false) AS observed_direction_matches,
       coalesce(left_top_ticker_share <= 0.25 AND right_top_ticker_share <= 0.25 AND left_top_sector_share <= 0.5 AND right_top_sector_share <= 0.5, false) AS concentration_thresholds_pass,
       status = 'SUFFICIENT' AND coalesce(ticker_loo_evaluable, false) AND coalesce(sector_loo_evaluable, false) AS fully_evaluable,
       coalesce(status = 'SUFFICIENT' AND ticker_loo_evaluable AND sector_loo_evaluable AND sign(observed_difference) = {SIGN} AND direction_stable AND ticker_loo_direction_stable
         AND sector_loo_direction_stable AND left_top_ticker_share <= 0.25 AND right_top_ticker_share <= 0.25 AND left_top_sector_share <= 0.5 AND right_top_sector_share <= 0.5, false) AS passes_all_robust_conditions
-    FROM hboot
+    FROM {boot}
     LEFT JOIN (SELECT {PAIR}, bucket_count = evaluable_leave_one_out_count AS ticker_loo_evaluable, direction_stable AS ticker_loo_direction_stable,
-      minimum_effect AS ticker_loo_minimum_effect, maximum_effect AS ticker_loo_maximum_effect FROM ({loo_sql("ticker", SIGN)})) USING ({PAIR})
+      minimum_effect AS ticker_loo_minimum_effect, maximum_effect AS ticker_loo_maximum_effect FROM ({loo_sql("ticker", SIGN, arms, trades)})) USING ({PAIR})
     LEFT JOIN (SELECT {PAIR}, bucket_count = evaluable_leave_one_out_count AS sector_loo_evaluable, direction_stable AS sector_loo_direction_stable,
-      minimum_effect AS sector_loo_minimum_effect, maximum_effect AS sector_loo_maximum_effect FROM ({loo_sql("sector", SIGN)})) USING ({PAIR})
-    LEFT JOIN ({tops_sql("ticker")}) USING ({PAIR}) LEFT JOIN ({tops_sql("sector")}) USING ({PAIR})""",
-    "hboot", "arms",
+      minimum_effect AS sector_loo_minimum_effect, maximum_effect AS sector_loo_maximum_effect FROM ({loo_sql("sector", SIGN, arms, trades)})) USING ({PAIR})
+    LEFT JOIN ({tops_sql("ticker", arms)}) USING ({PAIR}) LEFT JOIN ({tops_sql("sector", arms)}) USING ({PAIR})"""
+
+
+cte("hpairs", pairs_sql("hboot", "arms", 3), "hboot", "arms")
+
+
+PAIRS_DBL = (
+    BOOT_DBL + " " + " ".join(f"{b}_loo_{m}_effect" for b in ("ticker", "sector") for m in ("minimum", "maximum"))
+    + " left_top_ticker_share right_top_ticker_share left_top_sector_share right_top_sector_share"
 )
 
 
@@ -190,13 +201,41 @@ def pairs_of(d):
 
 @query(
     sql("SELECT * FROM hpairs", "hpairs"),
-    dbl=BOOT_DBL + " " + " ".join(f"{b}_loo_{m}_effect" for b in ("ticker", "sector") for m in ("minimum", "maximum"))
-    + " left_top_ticker_share right_top_ticker_share left_top_sector_share right_top_sector_share",
+    dbl=PAIRS_DBL,
 )
 def pair_evaluation(spark, sf):
     return pairs_of(diag(spark, sf))
 
 
+# Comparisons over all years and tickers meet the frozen minimums; each cost and path scenario is one.
+cte(
+    "parms",
+    """SELECT 'E_SCORE_MONOTONICITY' AS hypothesis, scenario AS universe, 'all_years' AS split, CASE WHEN score > 90 THEN 'left' ELSE 'right' END AS arm,
+      ticker, sector, signal_date, is_closed, net_return_pct AS value FROM fills WHERE score >= 90""",
+    "fills",
+)
+cte("pmonths", months_sql("parms"), "parms")
+cte("pobs", obs_sql("pmonths"), "pmonths")
+cte("pboot", boot_sql("pobs", "pmonths", inf.Policy().min_trades, inf.Policy().min_clusters), "pobs", "pmonths")
+
+
+def pooled_of(spark, sf):
+    return inf.pooled_arms(shared(Study, spark, sf).exits(), "E_SCORE_MONOTONICITY", F.col("score") > 90, F.col("score") == 90)
+
+
+@query(sql("SELECT * FROM pboot", "pboot"), dbl=BOOT_DBL)
+def pooled_cluster_bootstrap(spark, sf):
+    """High against low scores over all years under the frozen minimums."""
+    return inf.cluster_bootstrap(inf.monthly_sums(pooled_of(spark, sf)))
+
+
+@query(sql(pairs_sql("pboot", "parms", inf.Policy().min_trades), "pboot", "parms"), dbl=PAIRS_DBL)
+def pooled_pair_evaluation(spark, sf):
+    """Bootstrap, leave-one-outs and concentration of the pooled comparisons under the frozen minimums."""
+    arms = stage(pooled_of(spark, sf), "pooled-arms")
+    return inf.evaluate_pairs(arms, inf.cluster_bootstrap(inf.monthly_sums(arms)))
+
+
 SUPPORT = """SELECT e.universe, e.split, e.dd AS expanded_maximum_drawdown, b.dd AS baseline_maximum_drawdown, e.dd - b.dd AS expanded_minus_baseline_drawdown,
   coalesce(e.dd < b.dd, false) AS expanded_drawdown_worse FROM wdd e JOIN wdd b ON b.split = e.split AND b.universe = 'static' WHERE e.universe <> 'static'"""
 cte("wdd", "SELECT universe, split, min(equity / peak - 1) AS dd FROM (SELECT *, max(equity) OVER (PARTITION BY universe, split ORDER BY date) AS peak FROM uanch) GROUP BY ALL", "uanch")

@@ -99,6 +99,14 @@ def hypothesis_arms(shadow: DataFrame, quality: DataFrame, accepted: DataFrame,
     return out
 
 
+def pooled_arms(outcomes: DataFrame, hypothesis: str, left: Column, right: Column, value: str = "net_return_pct", pool: str = "scenario") -> DataFrame:
+    """Arms of one comparison over all years: the column ``pool`` stands for the universe, and the split is ``all_years``."""
+    return outcomes.select(
+        F.lit(hypothesis).alias("hypothesis"), F.col(pool).alias("universe"), F.lit("all_years").alias("split"), F.when(left, "left").when(right, "right").alias("arm"),
+        "ticker", "sector", "signal_date", F.coalesce("is_closed", F.lit(False)).alias("is_closed"), F.col(value).alias("value"),
+    ).where("arm IS NOT NULL")
+
+
 def arm_sums(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Sum and count of closed values per arm."""
     ok = F.col("is_closed") & F.col("value").isNotNull()
