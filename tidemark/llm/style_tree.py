@@ -8,8 +8,9 @@ presentation styles for inner nodes, of the pages that share a text for content
 (1 if no page shares it, 0 if all pages say the same), joined bottom-up: a
 branch is its own presentation and the mean of its texts and child branches,
 weighted by how many children it has. All counts are ordinary aggregates by
-(host, node) and the branches aggregates over path prefixes, so a host with many
-pages is spread over tasks and never in one. Copies of a page count once.
+(host, node), so a host with many pages is spread over tasks and never in one,
+and branches are summed by doubling the distance to the node they count for: a
+page of any depth takes the logarithm of it in rounds. Copies of a page count once.
 
 A text goes if its node says the same on the pages of the host. Article and
 main elements, and tags and names that stand for something else, are priors:
@@ -18,17 +19,18 @@ they hold unless the text that the tree leaves speaks clearly against them.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import table
 from tidemark.llm.url_filter import host_of
-from tidemark.session import stage
+from tidemark.session import release, stage
 
 #: Texts of style nodes of less importance go; where a host has at least PAGES pages with the node.
 LEAST, PAGES = 0.3, 5
@@ -37,6 +39,8 @@ GAMMA = 0.9
 #: A branch named as noise stays if it has NAMED times the letters that no such branch has, what is outside article and main
 #: if it has LANDMARK times theirs; FLOOR letters are added to the other side.
 NAMED, LANDMARK, FLOOR = 4, 2, 50
+#: Paths of more characters go on from their hash.
+PATH = 400
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -69,17 +73,26 @@ class Node:
     children: list = field(default_factory=list)  # Nodes and texts
 
 
+def _path(style: str) -> str:
+    """What the style nodes below one start with; ``_key`` is the same as a column."""
+    return style if len(style) <= PATH else "#" + hashlib.md5(style.encode("utf-8", "replace")).hexdigest()
+
+
+def _key(style: Column) -> Column:
+    return F.when(F.length(style) > PATH, F.concat(F.lit("#"), F.md5(style))).otherwise(style)
+
+
 class _Builder(HTMLParser):
     """Block tree of a page. Inline tags only carry text, except those that say they are noise."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("", "", False, False, False)
-        self.open: list[tuple[str, Node | None]] = [("", self.root)]
+        self.open: list[tuple[str, Node]] = [("", self.root)]  # tags and the block that each is in or is
 
     @property
     def at(self) -> Node:
-        return next(n for _, n in reversed(self.open) if n is not None)
+        return self.open[-1][1]
 
     def _close(self, k: int) -> None:
         del self.open[k:]
@@ -110,10 +123,10 @@ class _Builder(HTMLParser):
         main = tag in ("article", "main") or "articlebody" in label.lower()
         hidden = up.hidden or hidden
         noise = tag in BESIDE or header or (bool(own & NOISE) and not main and tag not in ("html", "body"))
-        node = None
+        node = up
         if tag in BLOCK or noise or hidden and not up.hidden:
-            style = f"{up.style}/{tag}" + (f".{'.'.join(sorted(own))}" if own else "")
-            node = Node(tag, re.sub(r"\d+", "0", style), hidden, noise, up.inside or main)
+            name = tag + (f".{'.'.join(sorted(own))}" if own else "")
+            node = Node(tag, f"{_path(up.style)}/{re.sub(r'[0-9]+', '0', name)}", hidden, noise, up.inside or main)
             up.children.append(node)
         self.open.append((tag, node))
 
@@ -260,26 +273,28 @@ def _joined(nodes: DataFrame) -> DataFrame:
     A branch is (1 - g) x presentation + g x the mean, by pages, of its own
     text and its child branches, where g is GAMMA to the number of children.
     Unrolled, it is a sum over the nodes below with the product of the weights
-    on the way, which is a difference of sums of logarithms from the root.
+    on the way. A round adds to each node what the nodes at some distance have
+    gathered so far and doubles that distance.
     """
     up = F.expr("left(style, greatest(length(style) - length(substring_index(style, '/', -1)) - 1, 0))")
-    node = nodes.withColumn("id", F.xxhash64("style")).withColumn("up", F.when(F.col("style") != "", F.xxhash64(up)))
+    node = nodes.withColumn("id", F.xxhash64(_key(F.col("style")))).withColumn("up", F.when(F.col("style") != "", F.xxhash64(up)))
     below = node.where("up is not null").groupBy(F.col("host").alias("h"), F.col("up").alias("u")).agg(F.sum("pages").alias("below"))
     node = node.join(below, (F.col("host") == F.col("h")) & (F.col("id") == F.col("u")), "left").drop("h", "u")
     g, own = F.pow(F.lit(GAMMA), F.col("children")), F.when(F.col("content").isNotNull(), F.col("pages")).otherwise(0)
     parts = F.coalesce("below", F.lit(0)) + own
     mean = F.when(parts > 0, g * F.coalesce("content", F.lit(0.0)) * own / parts).otherwise(g * F.col("presentation"))
-    node = node.withColumn("alone", (1 - g) * F.col("presentation") + mean).withColumn("part", F.when(parts > 0, F.log(g / parts)))
+    node = node.withColumn("alone", (1 - g) * F.col("presentation") + mean).withColumn("part", F.when(parts > 0, g / parts))
+    node = stage(node.select("host", "style", "id", "up", "pages", "presentation", "content", "alone", "part"), "style-nodes")
     above = node.select(F.col("host").alias("h"), F.col("id").alias("u"), "part")
-    steps = node.drop("part").join(above, (F.col("host") == F.col("h")) & (F.col("up") == F.col("u")), "left").withColumn("step", F.coalesce(F.col("part") + F.log("pages"), F.lit(0.0))).drop("h", "u", "part")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("style", "/"))), lambda k: F.xxhash64(F.array_join(F.slice(F.split("style", "/"), F.lit(1), k), "/")))
-    steps = stage(steps.withColumn("way", prefixes), "style-steps")
-    way = steps.select("host", "id", "alone", F.explode("way").alias("a"))
-    met = way.join(steps.select(F.col("host").alias("h"), F.col("id").alias("u"), "step"), (F.col("host") == F.col("h")) & (F.col("a") == F.col("u")))
-    length = stage(met.groupBy("host", "id").agg(F.sum("step").alias("length")), "style-ways")
-    pairs = way.join(length, ["host", "id"]).join(length.select(F.col("host").alias("h"), F.col("id").alias("u"), F.col("length").alias("from")), (F.col("host") == F.col("h")) & (F.col("a") == F.col("u")))
-    branch = pairs.groupBy("host", F.col("a").alias("id")).agg(F.sum(F.exp(F.col("length") - F.col("from")) * F.col("alone")).alias("importance"))
-    return steps.join(branch, ["host", "id"]).select("host", "style", "pages", "presentation", "content", "importance")
+    met = node.drop("part").join(above, (F.col("host") == F.col("h")) & (F.col("up") == F.col("u")), "left")
+    sums = stage(met.select("host", "id", "up", (F.col("part") * F.col("pages")).alias("weight"), F.col("alone").alias("importance")), "style-sums")
+    while not sums.where("up is not null").isEmpty():
+        far = sums.where("up is not null").groupBy(F.col("host").alias("h"), F.col("up").alias("u")).agg(F.sum(F.col("weight") * F.col("importance")).alias("more"))
+        jump = sums.select(F.col("host").alias("k"), F.col("id").alias("v"), F.col("up").alias("next"), F.col("weight").alias("times"))
+        met = sums.join(far, (F.col("host") == F.col("h")) & (F.col("id") == F.col("u")), "left").join(jump, (F.col("host") == F.col("k")) & (F.col("up") == F.col("v")), "left")
+        last, sums = sums, stage(met.select("host", "id", F.col("next").alias("up"), (F.col("weight") * F.col("times")).alias("weight"), (F.col("importance") + F.coalesce("more", F.lit(0.0))).alias("importance")), "style-sums")
+        release(last)
+    return node.join(sums.select("host", "id", "importance"), ["host", "id"]).select("host", "style", "pages", "presentation", "content", "importance")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -25,8 +25,10 @@ ROLES = ("system", "user", "assistant")
 TURNS = 128
 #: Learned only from conversations for which crc32(conv_id as text) mod FOLDS is not HELD_OUT.
 FOLDS, HELD_OUT = 5, 0
-#: Chance that the speaker changes at a line inside a turn, and that a marker tells the truth.
-SWITCH, TRUST = 0.01, 0.97
+#: Chance that the speaker changes at an unmarked line inside a turn: labelled turns have one speaker each, so it is not learned from them.
+SWITCH = 0.01
+#: Before any count, this many markers of each kind told the truth, and that many did not.
+TRUE, FALSE = 97, 3
 #: Speaker names at the start of a line, by role.
 MARKERS = ("system|context|instructions?", "user|human|customer|question|prompt|q|you|me", "assistant|ai|bot|agent|model|answer|response|a|gpt|support")
 _MARKER = re.compile(r"^[\s>#*_\[(<|-]*(?:(%s)|(%s)|(%s))\s*\d*[\])>|*_]*\s*(?:[:>]|\|>|$)[*_]*\s*" % MARKERS, re.IGNORECASE)
@@ -36,16 +38,18 @@ SIZES = (3, 4, 2, 2, 2)
 
 @dataclass
 class Model:
-    """log probabilities: of the first role, of a role after one at a new turn, of each feature's values by role."""
+    """log probabilities: of the first role, of a role after one at a new turn, of each feature's values by role; and how often
+    the markers at the first line of a turn, and at the others, name the speaker."""
 
     start: np.ndarray
     turn: np.ndarray
     line: np.ndarray
     features: list[np.ndarray]
+    trust: tuple[float, float] = (TRUE / (TRUE + FALSE),) * 2
 
 
-def lines(text: str | None) -> list[tuple[str, int, tuple[int, ...]]]:
-    """Lines of a turn without speaker markers: text, marked role (-1: none), features. A turn without text is one empty line."""
+def lines(text: str | None) -> list[tuple[str, int, tuple[int, ...], str]]:
+    """Lines of a turn: text without its speaker marker, marked role (-1: none), features, whole text. A turn without text is one empty line."""
     out = []
     parts = (text or "").split("\n")
     for k, line in enumerate(parts):
@@ -53,7 +57,7 @@ def lines(text: str | None) -> list[tuple[str, int, tuple[int, ...]]]:
         role = found.lastindex - 1 if found else -1
         rest = line[found.end() :] if found else line
         size = sum(len(rest) >= n for n in (20, 80, 300))
-        out.append((rest, role, (min(k, 2), size, int(rest.rstrip().endswith("?")), int(rest.rstrip()[-1:] in ".!"), int(bool(re.match(r"\s*(?:[-*•]\s|\d+[.)]\s|```|    )", rest))))))
+        out.append((rest, role, (min(k, 2), size, int(rest.rstrip().endswith("?")), int(rest.rstrip()[-1:] in ".!"), int(bool(re.match(r"\s*(?:[-*•]\s|\d+[.)]\s|```|    )", rest)))), line))
     return out
 
 
@@ -64,7 +68,8 @@ def _paths(model: Model, units: list[tuple[bool, int, tuple[int, ...]]]) -> tupl
     for k, (_, role, values) in enumerate(units):
         emit[k] = sum(table[:, v] for table, v in zip(model.features, values, strict=True))
         if role >= 0:
-            emit[k] += np.log(np.where(np.arange(len(ROLES)) == role, TRUST, (1 - TRUST) / 2))
+            trust = model.trust[0 if units[k][0] else 1]
+            emit[k] += np.log(np.where(np.arange(len(ROLES)) == role, trust, (1 - trust) / (len(ROLES) - 1)))
             step[k] = 0  # a marker names the speaker anew
     return step, emit
 
@@ -108,7 +113,7 @@ def borders(model: Model, matrices: list[np.ndarray], first_emission: np.ndarray
 
 
 def _units(texts: list[str | None]) -> list:
-    return [(k == 0, role, values) for text in texts for k, (_, role, values) in enumerate(lines(text))]
+    return [(k == 0, role, values) for text in texts for k, (_, role, values, _) in enumerate(lines(text))]
 
 
 def segments(turns: DataFrame) -> DataFrame:
@@ -118,7 +123,7 @@ def segments(turns: DataFrame) -> DataFrame:
 
 
 def train(held: DataFrame) -> Model:
-    """Counts of roles, of their order and of their lines' features over all labelled turns of the open folds, plus one each."""
+    """Counts of roles, of their order, of their lines' features (plus one each) and of true markers over all labelled turns of the open folds."""
 
     def count(batches):
         role_of = {r: k for k, r in enumerate(ROLES)}
@@ -136,7 +141,9 @@ def train(held: DataFrame) -> Model:
                     if a >= 0 and b >= 0:
                         add(-2, a, b)
                 for role, x in zip(roles, rows, strict=True):
-                    for _, _, values in lines(x["text"]) if role >= 0 else ():
+                    for k, (_, said, values, _) in enumerate(lines(x["text"]) if role >= 0 else ()):
+                        if said >= 0:
+                            add(-3, int(k > 0), int(said == role))
                         for f, v in enumerate(values):
                             add(f, role, v)
             keys = sorted(seen)
@@ -145,16 +152,19 @@ def train(held: DataFrame) -> Model:
     open_ = held.where(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % FOLDS != HELD_OUT)
     counts = open_.mapInArrow(count, "f int, role int, v int, n long").groupBy("f", "role", "v").agg(F.sum("n").alias("n")).collect()
     start, turn, features = np.ones(len(ROLES)), np.ones((len(ROLES), len(ROLES))), [np.ones((len(ROLES), n)) for n in SIZES]
+    said = np.array([[FALSE, TRUE], [FALSE, TRUE]], float)
     for r in counts:
         if r.f == -1:
             start[r.role] += r.n
         elif r.f == -2:
             turn[r.role, r.v] += r.n
+        elif r.f == -3:
+            said[r.role, r.v] += r.n
         else:
             features[r.f][r.role, r.v] += r.n
     line = np.full((len(ROLES), len(ROLES)), SWITCH / (len(ROLES) - 1)) + np.eye(len(ROLES)) * (1 - SWITCH - SWITCH / (len(ROLES) - 1))
     norm = lambda a: np.log(a / a.sum(axis=-1, keepdims=True))
-    return Model(norm(start), norm(turn), np.log(line), [norm(x) for x in features])
+    return Model(norm(start), norm(turn), np.log(line), [norm(x) for x in features], tuple(float(x) for x in said[:, 1] / said.sum(axis=1)))
 
 
 def parse(turns: DataFrame, model: Model | None = None) -> DataFrame:
@@ -162,7 +172,8 @@ def parse(turns: DataFrame, model: Model | None = None) -> DataFrame:
 
     ``turns`` has conv_id, turn, text and role; role is only learned from and
     passed through. Lines of a turn that the model gives to one speaker are one
-    part. Null texts are one empty line; turns of equal number follow each other
+    part. A marker is taken off only where a part begins and the part's role is
+    the one it names; elsewhere it is text and stays. Null texts are one empty line; turns of equal number follow each other
     in order of text; a null turn counts as 0, a null conv_id is a conversation.
     """
     held = segments(turns)
@@ -196,11 +207,12 @@ def parse(turns: DataFrame, model: Model | None = None) -> DataFrame:
                 roles = iter(decode(model, _units([x["text"] for x in rows]), before, last))
                 for x in rows:
                     parts: list[tuple[int, list[str]]] = []
-                    for text, _, _ in lines(x["text"]):
+                    for text, said, _, whole in lines(x["text"]):
                         role = next(roles)
-                        if not parts or parts[-1][0] != role:
+                        begins = not parts or parts[-1][0] != role
+                        if begins:
                             parts.append((role, []))
-                        parts[-1][1].append(text)
+                        parts[-1][1].append(text if begins and said == role else whole)
                     for k, (role, texts) in enumerate(parts):
                         body = "\n".join(texts).strip()
                         out.append((conv, x["turn"], k, ROLES[role], x["role"], body, f"<|{ROLES[role]}|>\n{body}\n<|end|>"))
