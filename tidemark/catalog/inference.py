@@ -140,7 +140,7 @@ def cluster_bootstrap(spark, sf):
           CASE WHEN m >= {CLUSTERS} THEN 'SUFFICIENT' ELSE 'INSUFFICIENT_SAMPLE' END AS status FROM o LEFT JOIN b USING (universe)""",
         "days",
     ),
-    dbl="observed_difference same_direction_fraction ci_low ci_high", digits=3,
+    dbl="observed_difference same_direction_fraction ci_low ci_high", digits=6,
 )
 def paired_month_bootstrap(spark, sf):
     """Mean monthly PnL difference of each expanded universe to the static one."""

@@ -760,7 +760,7 @@ def sessions_held(spark, sf):
         LEFT JOIN (SELECT account, sum(round(market_value, 2)) FILTER (new_status = 'closed') s, sum(round(pnl, 2)) g, sum(round(market_value, 2)) FILTER (new_status = 'open') mv, count(*) FILTER (new_status = 'open') n FROM v GROUP BY 1) USING (account)""",
         "padm", "pchk",
     ),
-    dbl="cash realized_pnl market_value equity", digits=1,
+    dbl="cash realized_pnl market_value equity", digits=4,
 )
 def account_snapshot(spark, sf):
     """Account state after the admission step and the exit check of held positions."""
